@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing
+from . import jaccard, langid, licences, lines, mixing, packing, personal
 
 QUERIES = {
+    "op3_line_dedup": lines.op3,
     "op4_language_id": langid.op4,
+    "op5_licence_scans": licences.op5,
     "op6_packing": packing.op6,
+    "op7_jaccard_join": jaccard.op7,
+    "op8_personal_data": personal.op8,
     "op9_mixing": mixing.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_licence_scans": licences.sql()}
