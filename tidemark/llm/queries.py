@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licences, lines, mixing, packing, personal
+from . import ann, jaccard, langid, licences, lines, mixing, nearvec, packing, personal
 
 QUERIES = {
+    "op1_nearest_neighbours": ann.op1,
     "op3_line_dedup": lines.op3,
     "op4_language_id": langid.op4,
     "op5_licence_scans": licences.op5,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_jaccard_join": jaccard.op7,
     "op8_personal_data": personal.op8,
     "op9_mixing": mixing.op9,
+    "op10_near_vectors": nearvec.op10,
 }
 
 ORACLES: dict[str, str] = {"op5_licence_scans": licences.sql()}
