@@ -22,7 +22,7 @@ from .common import embeddings, materialise, nothing
 from .vectors import matrix, usable
 
 TABLES = 6
-PROBES = 56
+PROBES = 20
 K = 10
 SEED = 17
 PART = 8192

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, langid, licences, lines, mixing, nearvec, packing, personal
+from . import ann, jaccard, langid, licences, lines, mixing, nearvec, packing, personal, suffixes
 
 QUERIES = {
     "op1_nearest_neighbours": ann.op1,
+    "op2_suffix_dedup": suffixes.op2,
     "op3_line_dedup": lines.op3,
     "op4_language_id": langid.op4,
     "op5_licence_scans": licences.op5,
