@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, nothing
 
 KINDS = ("email", "ip", "card", "phone")
 #: At least so many distinct texts must hold the entity together with the term.
@@ -168,28 +168,33 @@ def disclosing(
     frequent = materialise(pairs.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support))
     linked = materialise(pairs.join(frequent, "entity"))
     keys = materialise(linked.select("_key").distinct())
-    texts = _holding(docs, text).join(keys, "_key", "left_semi").dropDuplicates(["_key"]).join(holders, "_key")
+    texts = _holding(docs, text).join(holders, "_key").dropDuplicates(["_key"])
     # base spans are blanked, so that parts of an address are no terms
     bare = F.aggregate(
         F.reverse("_base"),
         F.col("_text"),
         lambda a, x: F.concat(F.substr(a, F.lit(1), x["s"]), F.lit(" "), F.substr(a, x["e"] + 1)),
     )
-    terms = materialise(texts.select("_key", F.explode(_terms(bare)).alias("term")))
+    held = materialise(texts.select("_key", _terms(bare).alias("terms")))
+    terms = materialise(held.join(keys, "_key", "left_semi").select("_key", F.explode("terms").alias("term")))
     met = linked.join(terms, "_key").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"))
-    both = materialise(met.where(F.col("n_et") >= support))
+    met = met.where(F.col("n_et") >= support)
+    every = docs.select(t.alias("_text")).where("_text <> ''")
+    n = 0 if nothing(frequent) else every.agg(F.count_distinct(F.xxhash64("_text"))).first()[0]
+    own = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
+    gain = lambda n_t: F.log(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * n_t))
+    # texts with base spans are some of all: a term that is too common among them is so everywhere
+    some = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_some"))
+    both = met.join(some, "term").where((own > 0) & (gain(F.col("n_some")) >= F.lit(disclose) * own))
+    both = materialise(both.drop("n_some"))
     wanted = materialise(both.select("term").distinct())
     size = wanted.count()
-    every = docs.select(t.alias("_text")).where("_text <> ''")
-    n = every.agg(F.count_distinct(F.xxhash64("_text"))).first()[0] if size else 0
     spread = every.select(F.xxhash64("_text").alias("_d"), F.explode(_terms(F.col("_text"))).alias("term"))
     spread = spread.join(F.broadcast(wanted) if size <= BROADCAST_TERMS else wanted, "term", "left_semi")
     counts = spread.groupBy("term", "_d").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t"))
     if not size:
         counts = wanted.select("term", F.lit(1).cast("long").alias("n_t"))
-    gain = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    own = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    told = both.join(counts, "term").where((own > 0) & (gain >= F.lit(disclose) * own)).select("entity", "term")
+    told = both.join(counts, "term").where(gain(F.col("n_t")) >= F.lit(disclose) * own).select("entity", "term")
     found = linked.select("_key", "entity").join(materialise(told), "entity").join(terms, ["_key", "term"])
     return found.groupBy("_key").agg(F.array_sort(F.collect_set("term")).alias("_more"))
 
