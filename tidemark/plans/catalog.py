@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import market
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (market,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
