@@ -7,9 +7,9 @@ blocks that cannot reach T with each other are skipped; what remains is held aga
 from 512-bit parity sketches before whole sets are compared.
 
 Answers come incrementally: sets that are equal count as one, a set first takes over the group of
-the similar set it is linked to, and only lists that still hold several groups are compared again,
-across groups and without the pairs already tried. The result is exact: two rounds leave no pair
-that could link two groups.
+the similar set it is linked to, and only pairs across groups are compared after that; long lists
+first give each set one partner, and all pairs only where they still hold several groups. The
+result is exact: the second round leaves no pair that could link two groups.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ PERCENT = 90
 HEAVY = 100_000
 #: Lists beyond so many entries are dealt into cells of pairs of parts of about this size.
 LIST_PART = 1024
+#: Lists up to this length give all their candidate pairs at once.
+SHORT = 32
+#: Sets are asked for by broadcast up to so many, by a shuffle beyond.
+BROADCAST_NODES = 500_000
 _SKETCH = 8
 _U = np.uint64
 _M = (_U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5), _U(0x9FB21C651E98DF25))
@@ -147,8 +151,9 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
     """Pairs of one sorted run of lists that may link: ``part`` is sorted by (list, n).
 
     Entries of a list are taken in blocks; of a block only the later entries whose sizes fit are
-    looked at, and blocks whose positions leave no room are skipped. ``every`` false keeps for each
-    entry the one partner of the smallest node, which is what lists in common agree on.
+    looked at, and blocks whose positions leave no room are skipped. ``every`` false keeps of long
+    lists, for each entry, the one partner of the smallest node, which is what lists in common
+    agree on.
     """
     ids, n, pos = part["list"], part["n"], part["pos"]
     start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
@@ -172,14 +177,15 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
         out_b.append(hi)
 
     length = stop - start
-    for size in np.unique(length[(length > 1) & (length <= 32)]):  # short lists of one length at once
+    for size in np.unique(length[(length > 1) & (length <= SHORT)]):  # short lists of one length at once
         at = start[length == size]
         x, y = np.triu_indices(size, 1)
         step = max(1, 200_000 // len(x))
         for k in range(0, len(at), step):
             base = at[k : k + step, None]
             put(*test((base + x).ravel(), (base + y).ravel()))
-    for s, e in zip(start[length > 32], stop[length > 32]):
+    short = len(out_a)
+    for s, e in zip(start[length > SHORT], stop[length > SHORT]):
         for lo in range(s, e, 256):
             hi = min(lo + 256, e)
             end = s + np.searchsorted(n[s:e], 100 * n[hi - 1] // percent, side="right")
@@ -191,12 +197,17 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
                 i, j = np.meshgrid(np.arange(lo, hi), np.arange(to, last), indexing="ij")
                 later = i < j
                 put(*test(i[later], j[later]))
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([np.concatenate(out_b), np.concatenate(out_a)], axis=1), axis=0)
-    if not every and len(pairs):  # sorted by the larger node, then the smaller: the first of each
-        pairs = pairs[np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]]
-    return pairs[:, 1], pairs[:, 0]
+
+    def pairs(x, y, first):
+        if not x:
+            return np.zeros((0, 2), np.int64)
+        found = np.unique(np.stack([np.concatenate(y), np.concatenate(x)], axis=1), axis=0)
+        if first and len(found):  # sorted by the larger node, then the smaller: the first of each
+            found = found[np.r_[True, found[1:, 0] != found[:-1, 0]]]
+        return found
+
+    found = np.concatenate([pairs(out_a[:short], out_b[:short], False), pairs(out_a[short:], out_b[short:], not every)])
+    return found[:, 1], found[:, 0]
 
 
 def _pairs(entries: DataFrame, percent: int, every: bool) -> DataFrame:
@@ -267,6 +278,49 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", ok.alias("ok"))
 
 
+def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: DataFrame, size: int, percent: int):
+    """``(node, root)`` of all links, or None without any."""
+    if nothing(entries):
+        return None
+
+    def candidates(some: DataFrame, every: bool) -> DataFrame:
+        return materialise(_pairs(_celled(some).join(sketches, "node"), percent, every))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        # whole sets are made again, only of what is met in a pair
+        nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        few = nodes.count() <= BROADCAST_NODES
+        wanted = F.broadcast(nodes) if few else nodes
+        keys = index.join(wanted, index["ha"] == wanted["node"]).groupBy("ha").agg(F.min("doc_id").alias("doc_id"))
+        keys = materialise(keys.select("doc_id").distinct())
+        some = docs
+        if nothing(keys.where("doc_id is null")):
+            some = docs.join(F.broadcast(keys) if few else keys, "doc_id", "left_semi")
+        sets = _sets(some, "text", size).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return materialise(_linked(pairs, materialise(sets), percent))
+
+    met = candidates(entries.withColumn("comp", F.col("node")), False)
+    if nothing(met):
+        return None
+    first = tested(materialise(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    links = first.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    groups = components(links)
+    named = entries.where(F.col("c") > SHORT).join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    named = materialise(named)
+    lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    again = materialise(named.join(materialise(lists.where("lo < hi").select("token")), "token"))
+    left = met.select("a", "b")
+    if not nothing(again):
+        left = left.union(candidates(again, True)).distinct()
+    left = left.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    ra, rb = groups.toDF("a", "ra"), groups.toDF("b", "rb")
+    left = left.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    left = materialise(left)
+    if nothing(left):
+        return groups
+    return components(links.union(tested(left).where("ok").select("a", "b")))
+
+
 def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for each row of ``docs``.
 
@@ -284,32 +338,10 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int
     one = index.where("n > 0").groupBy("ha", "n").agg(F.min("doc_id").alias("low"), F.first(F.struct("sketch", "prefix")).alias("x"))
     classes = materialise(one.select(F.col("ha").alias("node"), "n", "low", "x.sketch", "x.prefix"))
     rows = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = materialise(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    entries = rows.join(shared, "token").join(classes.select("node", "sketch"), "node")
-    entries = materialise(entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "sketch"))
-    groups = None
-    if not nothing(entries):
-        label = entries.withColumn("comp", F.col("node"))
-        first = materialise(_pairs(_celled(label), percent, every=False))
-        nodes = first.select(F.col("a").alias("node")).union(first.select("b"))
-        if not nothing(first):
-            # sets are needed of what is met in a list of several, which is few of all documents
-            nodes = materialise(entries.select("node").distinct())
-            keys = materialise(index.join(nodes, index["ha"] == nodes["node"]).groupBy("ha").agg(F.min("doc_id").alias("doc_id")))
-            some = docs.join(keys.select("doc_id"), "doc_id", "left_semi") if not _null_key(keys) else docs
-            sets = materialise(_sets(some, "text", size).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-            tried = materialise(_linked(first, sets, percent))
-            links = tried.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            groups = components(links)
-            named = label.drop("comp").join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-            named = materialise(named)
-            several = materialise(named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
-            again = materialise(named.join(several, "token"))
-            if not nothing(again):
-                second = _pairs(_celled(again), percent, every=True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-                more = materialise(_linked(second, sets, percent).where("ok"))
-                if not nothing(more):
-                    groups = components(links.union(more.select("a", "b")))
+    shared = materialise(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+    entries = rows.join(shared, "token")
+    entries = materialise(entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "c"))
+    groups = _groups(docs, index, entries, classes.select("node", "sketch"), size, percent)
     lows = classes.select("node", "low")
     if groups is not None:
         lows = materialise(lows.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -324,9 +356,5 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _null_key(keys: DataFrame) -> bool:
-    return not nothing(keys.where("doc_id is null"))
-
-
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
