@@ -27,8 +27,9 @@ THRESHOLD = 0.9
 #: Vectors a block is meant to hold, and the most blocks: above, blocks grow instead.
 BLOCK = 6000
 MOST_BLOCKS = 4096
+#: The first sum takes so many dimensions that on average the rest adds at most threshold - REST.
+REST = 0.4
 _TILE = 512
-_STEPS = (8, 24)
 
 
 def _moments(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -54,31 +55,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of ``a`` and ``b``, both on principal axes, whose cosine may reach the
-    threshold: leading dimensions first, the rest bounded by suffix norms."""
-    slack = 1e-9
-    head = a[:, : _STEPS[0]] @ b[:, : _STEPS[0]].T
-    rest = np.sqrt(np.maximum(0, (a[:, _STEPS[0] :] ** 2).sum(axis=1)))[:, None] * np.sqrt(
-        np.maximum(0, (b[:, _STEPS[0] :] ** 2).sum(axis=1))
-    )
-    head += rest
-    i, j = np.nonzero(head >= threshold - slack)
-    if not len(i):
-        return i, j
-    head = head[i, j] - rest[i, j]
-    at = _STEPS[0]
-    for to in (*_STEPS[1:], a.shape[1]):
-        if not len(i) or at >= a.shape[1]:
+class _Ordered:
+    """Unit vectors on principal axes in single precision, with the norms of what follows each step."""
+
+    def __init__(self, turned: np.ndarray, steps: tuple[int, ...]):
+        self.x = turned.astype(np.float32)
+        self.steps = steps
+        self.rest = [np.sqrt(np.maximum(0, (turned[:, s:] ** 2).sum(axis=1))).astype(np.float32) for s in steps]
+
+
+def _close(a: _Ordered, s: slice, b: _Ordered, t: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of two tiles whose cosine may reach the threshold: leading dimensions
+    first, the rest bounded by suffix norms. The slack covers single precision."""
+    x, y, steps, least = a.x[s], b.x[t], a.steps, np.float32(threshold - 1e-4)
+    head = x[:, : steps[0]] @ y[:, : steps[0]].T
+    i, j = np.nonzero(head + a.rest[0][s][:, None] * b.rest[0][t] >= least)
+    head = head[i, j]
+    for k in range(1, len(steps)):
+        if not len(i):
             break
-        to = min(to, a.shape[1])
-        head = head + np.einsum("ij,ij->i", a[i, at:to], b[j, at:to])
-        left = np.sqrt(np.maximum(0, (a[:, to:] ** 2).sum(axis=1)))[i] * np.sqrt(np.maximum(0, (b[:, to:] ** 2).sum(axis=1)))[j]
-        keep = head + left >= threshold - slack
-        i, j, head, at = i[keep], j[keep], head[keep], to
+        head = head + np.einsum("ij,ij->i", x[i, steps[k - 1] : steps[k]], y[j, steps[k - 1] : steps[k]])
+        keep = head + a.rest[k][s][i] * b.rest[k][t][j] >= least
+        i, j, head = i[keep], j[keep], head[keep]
     return i, j
 
 
+def leading(values: np.ndarray, most: float) -> tuple[int, ...]:
+    """Where sums stop: after as many leading dimensions as leave at most ``most`` of all energy
+    behind, halfway through the rest, and at the end. ``values`` are eigenvalues, greatest first."""
+    left = 1 - np.cumsum(values) / values.sum()
+    first = min(len(values), int(np.argmax(left <= most)) + 1)
+    return tuple(sorted({first, (first + len(values)) // 2, len(values)}))
+
+
 class _Forest:
     """Union-find over the rows of one task."""
 
@@ -112,7 +121,7 @@ class _Forest:
         return made
 
 
-def _compare(rows: pd.DataFrame, lo: int, hi: int, axes: np.ndarray, threshold: float) -> pd.DataFrame:
+def _compare(rows: pd.DataFrame, lo: int, hi: int, axes: np.ndarray, steps: tuple[int, ...], threshold: float) -> pd.DataFrame:
     """Counts and forest edges of the pairs between block ``lo`` and block ``hi``."""
     a, b = rows[rows["block"] == lo].reset_index(drop=True), rows[rows["block"] == hi].reset_index(drop=True)
     same = lo == hi
@@ -123,13 +132,13 @@ def _compare(rows: pd.DataFrame, lo: int, hi: int, axes: np.ndarray, threshold:
     if not len(both):
         return pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
     unit = _unit(original)
-    turned = unit @ axes
+    turned = _Ordered(unit @ axes, steps)
     links = np.zeros(len(both), dtype=np.int64)
     forest, edges = _Forest(len(both)), []
     base = 0 if same else na
     for s in range(0, na, _TILE):
         for t in range(s if same else base, len(both), _TILE):
-            i, j = _close(turned[s : min(s + _TILE, na)], turned[t : t + _TILE], threshold)
+            i, j = _close(turned, slice(s, min(s + _TILE, na)), turned, slice(t, t + _TILE), threshold)
             i, j = i + s, j + t
             if same:
                 later = i < j
@@ -180,6 +189,7 @@ def dedup(
     total = classes.count()
     values, turn = np.linalg.eigh(_moments(classes, dim))
     axes = turn[:, ::-1].copy()
+    steps = leading(np.maximum(values[::-1], 0), threshold - REST)
 
     # blocks along the first axis: ends from approximate quantiles, any ends are right
     along = F.aggregate(
@@ -206,7 +216,7 @@ def dedup(
     held = table.sparkSession.sparkContext.broadcast(axes)
 
     def run(key_, part):
-        return _compare(part, int(key_[0]), int(key_[1]), held.value, threshold)
+        return _compare(part, int(key_[0]), int(key_[1]), held.value, steps, threshold)
 
     met = materialise(sent.groupBy("lo", "hi").applyInPandas(run, "u long, v long, n long"))
     counts = met.where("u = v").groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "node")
