@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import market
+from . import futures, market
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (market,):
+for _part in (market, futures):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
