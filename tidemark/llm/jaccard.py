@@ -33,6 +33,7 @@ SHORT = 32
 #: Sets are asked for by broadcast up to so many, by a shuffle beyond.
 BROADCAST_NODES = 500_000
 _SKETCH = 8
+_WIDE = 64
 _U = np.uint64
 _M = (_U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5), _U(0x9FB21C651E98DF25))
 
@@ -96,10 +97,12 @@ def _rank(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.lexsort((tokens, count))
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    """512 parities: two sets differ in at least as many tokens as their sketches in bits."""
-    bits = np.bincount((mix(tokens ^ _M[3]) >> _U(55)).astype(np.int64), minlength=64 * _SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(_U)
+def _sketch(tokens: np.ndarray, words: int = _SKETCH) -> np.ndarray:
+    """Parities in ``words`` words (a power of two): two sets differ in at least as many tokens as
+    their sketches in bits."""
+    bits = 64 * words
+    odd = np.bincount((mix(tokens ^ _M[3]) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_U)
 
 
 def _index(docs: DataFrame, text: str, size: int, percent: int, heavy) -> DataFrame:
@@ -130,21 +133,25 @@ def _index(docs: DataFrame, text: str, size: int, percent: int, heavy) -> DataFr
 
 
 def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """``(node, tokens)`` of every row with a set."""
+    """``(node, tokens, wide)`` of every row with a set; ``wide`` is its sketch in 64 words."""
 
     def run(batches):
         hasher = WordHasher()
         for b in batches:
-            ha, sets = [], []
+            ha, sets, wide = [], [], []
             for s in shingle_sets(hasher, b.column(0).to_pylist(), size):
                 if len(s):
                     ha.append(int(mix(s * _M[2]).sum(dtype=_U).view(np.int64)))
                     sets.append(s.view(np.int64))
+                    wide.append(_sketch(s, _WIDE).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ha, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"]
+                [pa.array(ha, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (sets, wide)]],
+                names=["node", "tokens", "wide"],
             )
 
-    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "node long, tokens array<long>")
+    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(
+        run, "node long, tokens array<long>, wide array<long>"
+    )
 
 
 def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -272,12 +279,22 @@ def _celled(entries: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(a, b, ok)``: the exact test on whole sets."""
-    one, two = sets.toDF("a", "ta"), sets.toDF("b", "tb")
+    one, two = sets.select("node", "tokens").toDF("a", "ta"), sets.select("node", "tokens").toDF("b", "tb")
     both = F.size(F.array_intersect("ta", "tb"))
     ok = 100 * both >= percent * (F.size("ta") + F.size("tb") - both)
     return pairs.join(one, "a").join(two, "b").select("a", "b", ok.alias("ok"))
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` those that may link by their wide sketches, with the bits they differ in."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("wide").alias(f"w{k}"), F.size("tokens").alias(f"n{k}"))
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = F.col("na") + F.col("nb")
+    need = F.ceil(both * percent / (100 + percent) - 1e-9)
+    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", bits)
+    return met.where(F.col("bits") <= both - 2 * need).select(*pairs.columns, "bits")
+
+
 def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: DataFrame, size: int, percent: int):
     """``(node, root)`` of all links, or None without any."""
     if nothing(entries):
@@ -286,7 +303,7 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
     def candidates(some: DataFrame, every: bool) -> DataFrame:
         return materialise(_pairs(_celled(some).join(sketches, "node"), percent, every))
 
-    def tested(pairs: DataFrame) -> DataFrame:
+    def whole(pairs: DataFrame) -> DataFrame:
         # whole sets are made again, only of what is met in a pair
         nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         few = nodes.count() <= BROADCAST_NODES
@@ -296,14 +313,23 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
         some = docs
         if nothing(keys.where("doc_id is null")):
             some = docs.join(F.broadcast(keys) if few else keys, "doc_id", "left_semi")
-        sets = _sets(some, "text", size).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-        return materialise(_linked(pairs, materialise(sets), percent))
+        return materialise(_sets(some, "text", size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        ra, rb = groups.toDF("a", "ra"), groups.toDF("b", "rb")
+        named = pairs.join(ra, "a", "left").join(rb, "b", "left")
+        named = named.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+        return named.where("ra <> rb")
+
+    def linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        ok = _linked(pairs.select("a", "b"), sets, percent).where("ok")
+        return materialise(ok.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     met = candidates(entries.withColumn("comp", F.col("node")), False)
     if nothing(met):
         return None
-    first = tested(materialise(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    links = first.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    first = materialise(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = linking(first, whole(first))
     groups = components(links)
     named = entries.where(F.col("c") > SHORT).join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     named = materialise(named)
@@ -312,13 +338,19 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
     left = met.select("a", "b")
     if not nothing(again):
         left = left.union(candidates(again, True)).distinct()
-    left = left.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    ra, rb = groups.toDF("a", "ra"), groups.toDF("b", "rb")
-    left = left.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    left = materialise(left)
+    left = materialise(apart(left.join(first, ["a", "b"], "left_anti"), groups))
     if nothing(left):
         return groups
-    return components(links.union(tested(left).where("ok").select("a", "b")))
+    sets = whole(left)
+    left = materialise(_bounded(left, sets, percent))
+    # of each two groups the nearest pair first, then what is still apart
+    near = materialise(left.groupBy("ra", "rb").agg(F.min(F.struct("bits", "a", "b")).alias("x")).select("x.a", "x.b"))
+    links = links.union(linking(near, sets))
+    groups = components(links)
+    rest = materialise(apart(left.select("a", "b").join(near, ["a", "b"], "left_anti"), groups))
+    if nothing(rest):
+        return groups
+    return components(links.union(linking(rest, sets)))
 
 
 def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
