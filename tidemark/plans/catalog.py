@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import futures, market
+from . import futures, market, mining
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (market, futures):
+for _part in (market, futures, mining):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
