@@ -174,4 +174,4 @@ def decimals(text: Column) -> Column:
 def short_number(x: Column, most: int) -> Column:
     """At most ``most`` decimals, without trailing zeros and point; empty for null."""
     t = F.format_string(f"%.{most}f", x)
-    return F.coalesce(F.regexp_replace(t, r"\.?0+$", "") if most > 0 else t, F.lit(""))
+    return F.when(x.isNull(), F.lit("")).otherwise(F.regexp_replace(t, r"\.?0+$", "") if most > 0 else t)

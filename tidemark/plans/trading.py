@@ -80,11 +80,11 @@ def execution(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {DENSE30}, s AS (SELECT *, row_number() OVER w AS n, max(high * 0.6) OVER (PARTITION BY symbol, trade_date ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stop
   FROM dense30 WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY k)), h AS (SELECT *, n > 1 AND coalesce(stop > low, false) AS hit FROM s)
-SELECT symbol, trade_date, max(open) FILTER (n = 2) AS entry, min(k) FILTER (hit) AS exit_at, round(arg_min(least(stop, open), k) FILTER (hit), 6) AS fill, arg_max(close, k) AS last FROM h GROUP BY 1, 2""")
+SELECT symbol, trade_date, max(open) FILTER (n = 2) AS entry, coalesce(min(k) FILTER (hit), -1) AS exit_at, round(arg_min(least(stop, open), k) FILTER (hit), 6) AS fill, arg_max(close, k) AS last FROM h GROUP BY 1, 2""")
 def stop_first_hit(spark: SparkSession, d: str) -> DataFrame:
     b = dense30(spark, d).withColumn("stop", F.col("high") * 0.6)
     x = simulate.first_hit(b, ["symbol"], "trade_date", "k", "stop")
-    return x.withColumn("fill", F.round("fill", 6))
+    return x.withColumns({"fill": F.round("fill", 6), "exit_at": F.coalesce("exit_at", F.lit(-1).cast("long"))})
 
 
 def _episodes(spark: SparkSession, d: str, maintain: policies.Policy) -> DataFrame:
