@@ -133,6 +133,13 @@ def numbered(
     )
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in pieces of few rows, so that a worker holds few texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 # ---------------------------------------------------------------- hashing words with numpy
 
 _U = np.uint64

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, components, documents, materialise, mix, nothing
+from .common import WordHasher, components, documents, materialise, mix, nothing, slices
 
 SHINGLE = 3
 #: 100 * intersection >= PERCENT * union.
@@ -69,7 +69,7 @@ def _heavy(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarra
             )
 
         sets, held = [], 0
-        for b in batches:
+        for b in slices(batches):
             for s in shingle_sets(hasher, b.column(0).to_pylist(), size):
                 if len(s):
                     sets.append(s)
@@ -111,7 +111,7 @@ def _index(docs: DataFrame, text: str, size: int, percent: int, heavy) -> DataFr
 
     def run(batches):
         hasher = WordHasher()
-        for b in batches:
+        for b in slices(batches):
             n, ha, hb, sk, px = [], [], [], [], []
             for s in shingle_sets(hasher, b.column(1).to_pylist(), size):
                 m = len(s)
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher()
-        for b in batches:
+        for b in slices(batches):
             ha, sets, wide = [], [], []
             for s in shingle_sets(hasher, b.column(0).to_pylist(), size):
                 if len(s):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 
 #: Bounds of the fit: labelled documents, characters of each that are learnt from, table entries.
 SAMPLE = 3000
@@ -27,7 +27,7 @@ GRAMS = 20_000
 LONGEST = 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -42,10 +42,12 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log-frequency tables: ``words`` and ``grams[n]`` map to one row of scores a language."""
+    """Log-frequency tables: ``words`` and ``grams[n]`` map an entry to a row of ``rows``, one score a
+    language."""
 
-    def __init__(self, langs: list[str], words: dict, grams: dict[int, dict], prior: np.ndarray):
-        self.langs, self.words, self.grams, self.prior = langs, words, grams, prior
+    def __init__(self, langs: list[str]):
+        self.langs, self.words, self.grams = langs, {}, {}
+        self.rows = self.prior = np.zeros(len(langs))
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], words: int = WORDS, grams: int = GRAMS) -> "Model":
@@ -54,33 +56,30 @@ class Model:
         for text, lang in rows:
             by.setdefault(lang, Counter()).update(words_of(text))
         by = {k: c for k, c in by.items() if c}
-        langs = sorted(by)
+        out, parts = cls(sorted(by)), []
         # words seen once say little about unseen text and are left to the n-grams
-        table = cls._logs(langs, {k: Counter({w: n for w, n in c.items() if n > 1} or c) for k, c in by.items()}, words)
-        tables = {}
+        often = {k: Counter({w: n for w, n in c.items() if n > 1} or c) for k, c in by.items()}
+        out.words = out._logs(often, words, parts)
         for n in range(LONGEST, 0, -1):
-            counts = {}
-            for k, c in by.items():
-                g = counts[k] = Counter()
-                for w, _ in c.most_common(words * 4):
-                    for x in grams_of(w, n):
-                        g[x] += 1
-            tables[n] = cls._logs(langs, counts, grams)
-        return cls(langs, table, tables, np.zeros(len(langs)))
-
-    @staticmethod
-    def _logs(langs: list[str], counts: dict[str, Counter], most: int) -> dict:
+            counts = {k: Counter(g for w, _ in c.most_common(words * 4) for g in grams_of(w, n)) for k, c in by.items()}
+            out.grams[n] = out._logs(counts, grams, parts)
+        out.rows = np.concatenate(parts) if parts else np.zeros((0, len(out.langs)))
+        return out
+
+    def _logs(self, counts: dict[str, Counter], most: int, parts: list[np.ndarray]) -> dict[str, int]:
         """Add-one smoothed log frequencies of the ``most`` frequent entries of each language."""
-        known = {x for c in counts.values() for x, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most]}
-        totals = [math.log(sum(counts[k].values()) + len(known) + 1) for k in langs]
-        return {x: np.array([math.log(counts[k][x] + 1) - t for k, t in zip(langs, totals)]) for x in known}
+        known = sorted({x for c in counts.values() for x, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[:most]})
+        base = sum(len(p) for p in parts)
+        table = np.array([[counts[k][x] + 1 for k in self.langs] for x in known], dtype=float).reshape(len(known), len(self.langs))
+        parts.append(np.log(table) - np.log([sum(counts[k].values()) + len(known) + 1 for k in self.langs]))
+        return {x: base + i for i, x in enumerate(known)}
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
             table = self.grams[n]
             found = [table[g] for g in grams_of(word, n) if g in table]
             if found:
-                return sum(found) / len(found)
+                return self.rows[found].mean(axis=0)
         return self.prior
 
     def scorer(self):
@@ -95,13 +94,14 @@ class Model:
                 return UNKNOWN, 0.0
             if len(ids) > _CACHE:
                 ids.clear()
+                rows = rows[:1024]
             n = len(ids)
             for w in found:
                 if w not in ids:
                     if n == len(rows):
                         rows = np.concatenate([rows, np.zeros_like(rows)])
                     v = self.words.get(w)
-                    rows[n] = self.unseen(w) if v is None else v
+                    rows[n] = self.unseen(w) if v is None else self.rows[v]
                     ids[w] = n
                     n += 1
             total = rows[np.fromiter((ids[w] for w in found), dtype=np.int64, count=len(found))].sum(axis=0)
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         score = held.value.scorer()
-        for b in batches:
+        for b in slices(batches, 250):
             found = [score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, documents, materialise, mix, nothing
+from .common import WordHasher, documents, materialise, mix, slices
 
 #: Words that a repeat has at least, and words of a gram.
 LENGTH = 50
@@ -74,7 +74,7 @@ def _suffixes(docs: DataFrame, text: str, length: int, gram: int, keys_only: boo
 
     def run(batches):
         hasher = WordHasher(lower=False)
-        for b in batches:
+        for b in slices(batches):
             t = b.column("t").to_pylist()
             keys, whole, first_, last_, owner = [], [], [], [], []
             for i, words in enumerate(hasher(t)):
@@ -115,7 +115,7 @@ def _windows(asked: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         hasher = WordHasher(lower=False)
-        for b in batches:
+        for b in slices(batches):
             asked_runs = b.column("runs").to_pylist()
             hashes, starts, spans, owner = [], [], [], []
             for i, words in enumerate(hasher(b.column("t").to_pylist())):
