@@ -48,7 +48,7 @@ def align(filters: DataFrame, trades: DataFrame, date: str = "date") -> DataFram
     missing = trades.select(date).join(filters.select(date), date, "left_anti")
     bad = missing.agg(F.array_join(F.sort_array(F.collect_list(F.col(date).cast("string"))), ", ").alias("d"))
     guard = bad.select(F.when(F.col("d") != "", F.raise_error(F.concat(F.lit("no filters on "), F.col("d")))).alias("_ok"))
-    return filters.join(trades.select(date).distinct(), date, "left_semi").join(F.broadcast(guard)).drop("_ok")
+    return filters.join(trades.select(date).distinct(), date, "left_semi").join(F.broadcast(guard)).where("_ok is null").drop("_ok")
 
 
 def computed_columns(trades: DataFrame, width: float, date: str = "date", risk: str = "risk", start: str | None = None) -> DataFrame:
