@@ -154,18 +154,18 @@ def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
     )
 
 
-def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one sorted run of lists that may link: ``part`` is sorted by (list, n).
+def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple[np.ndarray, ...]:
+    """Pairs (a, b, bits) of one sorted run of lists that may link: ``part`` is sorted by (list, n).
 
     Entries of a list are taken in blocks; of a block only the later entries whose sizes fit are
     looked at, and blocks whose positions leave no room are skipped. ``every`` false keeps of long
-    lists, for each entry, the one partner of the smallest node, which is what lists in common
-    agree on.
+    lists, for each entry, the one partner of a smaller node whose sketch is nearest, which is what
+    lists in common agree on.
     """
     ids, n, pos = part["list"], part["n"], part["pos"]
     start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     stop = np.r_[start[1:], len(ids)]
-    out_a, out_b = [], []
+    out: list[np.ndarray] = []
 
     def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         fit = (100 * n[i] >= percent * n[j]) & (part["comp"][i] != part["comp"][j])
@@ -175,13 +175,11 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
         i, j, need = i[fit], j[fit], need[fit]
         bits = np.bitwise_count(part["sketch"][i] ^ part["sketch"][j]).sum(axis=1, dtype=np.int64)
         ok = bits <= n[i] + n[j] - 2 * need
-        return i[ok], j[ok]
+        return i[ok], j[ok], bits[ok]
 
-    def put(i, j):
+    def put(i, j, bits):
         a, b = part["node"][i], part["node"][j]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        out_a.append(lo)
-        out_b.append(hi)
+        out.append(np.stack([np.maximum(a, b), bits, np.minimum(a, b)], axis=1))
 
     length = stop - start
     for size in np.unique(length[(length > 1) & (length <= SHORT)]):  # short lists of one length at once
@@ -191,7 +189,7 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
         for k in range(0, len(at), step):
             base = at[k : k + step, None]
             put(*test((base + x).ravel(), (base + y).ravel()))
-    short = len(out_a)
+    short = len(out)
     for s, e in zip(start[length > SHORT], stop[length > SHORT]):
         for lo in range(s, e, 256):
             hi = min(lo + 256, e)
@@ -205,20 +203,20 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
                 later = i < j
                 put(*test(i[later], j[later]))
 
-    def pairs(x, y, first):
-        if not x:
-            return np.zeros((0, 2), np.int64)
-        found = np.unique(np.stack([np.concatenate(y), np.concatenate(x)], axis=1), axis=0)
-        if first and len(found):  # sorted by the larger node, then the smaller: the first of each
+    def pairs(parts, first):
+        if not parts:
+            return np.zeros((0, 3), np.int64)
+        found = np.unique(np.concatenate(parts), axis=0)
+        if first and len(found):  # sorted by the larger node, then nearness: the first of each
             found = found[np.r_[True, found[1:, 0] != found[:-1, 0]]]
         return found
 
-    found = np.concatenate([pairs(out_a[:short], out_b[:short], False), pairs(out_a[short:], out_b[short:], not every)])
-    return found[:, 1], found[:, 0]
+    found = np.concatenate([pairs(out[:short], False), pairs(out[short:], not every)])
+    return found[:, 2], found[:, 0], found[:, 1]
 
 
 def _pairs(entries: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate ``(a, b)`` of ``entries(list, cell, side, node, comp, n, pos, sketch)``."""
+    """Candidate ``(a, b, bits)`` of ``entries(list, cell, side, node, comp, n, pos, sketch)``."""
 
     def run(batches):
         kept: list[pa.Table] = []
@@ -230,8 +228,8 @@ def _pairs(entries: DataFrame, percent: int, every: bool) -> DataFrame:
             new = (np.diff(col["token"], prepend=col["token"][:1]) != 0) | (np.diff(col["cell"], prepend=col["cell"][:1]) != 0)
             raw = b"".join(table.column("sketch").to_pylist())
             col["list"], col["sketch"] = np.cumsum(new), np.frombuffer(raw, dtype=_U).reshape(-1, _SKETCH)
-            a, b = _candidates(col, percent, every)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found = _candidates(col, percent, every)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "bits"])
 
         rows = 0
         for b in batches:
@@ -249,7 +247,7 @@ def _pairs(entries: DataFrame, percent: int, every: bool) -> DataFrame:
             yield from work(pa.concat_tables(kept))
 
     dealt = entries.repartition("token", "cell").sortWithinPartitions("token", "cell", "n", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, bits long").distinct()
 
 
 def _celled(entries: DataFrame) -> DataFrame:
@@ -313,7 +311,9 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
         some = docs
         if nothing(keys.where("doc_id is null")):
             some = docs.join(F.broadcast(keys) if few else keys, "doc_id", "left_semi")
-        return materialise(_sets(some, "text", size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        sets = _sets(some, "text", size).join(wanted, "node", "left_semi")
+        # one document a set was asked for; but for null keys and repeated rows each comes once
+        return materialise(sets.dropDuplicates(["node"]) if some is docs else sets)
 
     def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         ra, rb = groups.toDF("a", "ra"), groups.toDF("b", "rb")
@@ -328,7 +328,8 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
     met = candidates(entries.withColumn("comp", F.col("node")), False)
     if nothing(met):
         return None
-    first = materialise(met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    nearest = met.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x"))
+    first = materialise(nearest.select("x.a", "b"))
     links = linking(first, whole(first))
     groups = components(links)
     named = entries.where(F.col("c") > SHORT).join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
@@ -337,7 +338,7 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
     again = materialise(named.join(materialise(lists.where("lo < hi").select("token")), "token"))
     left = met.select("a", "b")
     if not nothing(again):
-        left = left.union(candidates(again, True)).distinct()
+        left = left.union(candidates(again, True).select("a", "b")).distinct()
     left = materialise(apart(left.join(first, ["a", "b"], "left_anti"), groups))
     if nothing(left):
         return groups
@@ -370,7 +371,14 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int
     one = index.where("n > 0").groupBy("ha", "n").agg(F.min("doc_id").alias("low"), F.first(F.struct("sketch", "prefix")).alias("x"))
     classes = materialise(one.select(F.col("ha").alias("node"), "n", "low", "x.sketch", "x.prefix"))
     rows = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = materialise(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+    # count and sum of sizes in one long; lists of two or three whose sizes are too unlike go at once
+    packed = F.sum(F.lit(1 << 44) + F.least("n", F.lit(1 << 24)))
+    lists = rows.groupBy("token").agg(packed.alias("s"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    lists = lists.select("token", "lo", "hi", F.shiftright("s", 44).alias("c"), (F.col("s") % (1 << 44) - F.col("lo") - F.col("hi")).alias("mid"))
+    fits = lambda x, y: 100 * F.col(x) >= percent * F.col(y)
+    known = F.col("hi") < (1 << 24)
+    unlike = known & (((F.col("c") == 2) & ~fits("lo", "hi")) | ((F.col("c") == 3) & ~fits("lo", "mid") & ~fits("mid", "hi")))
+    shared = materialise(lists.where((F.col("c") > 1) & ~unlike).select("token", "c"))
     entries = rows.join(shared, "token")
     entries = materialise(entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "c"))
     groups = _groups(docs, index, entries, classes.select("node", "sketch"), size, percent)

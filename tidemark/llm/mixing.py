@@ -22,7 +22,7 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 42
 #: The dynamic programme fits what is left below so many words (one Python integer of as many bits).
-DP_WORDS = 1 << 17
+DP_WORDS = 1 << 15
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -69,6 +69,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
         more = min(int(counts[i] - take[i]), (left - dp_words) // int(lengths[i]) + 1, left // int(lengths[i]))
         take[i] += more
         left -= more * int(lengths[i])
+    for i in order[::-1]:  # a few short documents back, so that the programme can choose among them
+        if left >= dp_words:
+            break
+        less = min(int(take[i]), max(1, (dp_words - left) // (4 * int(lengths[i]))))
+        take[i] -= less
+        left += less * int(lengths[i])
     if left > 0:
         take += _knapsack(lengths, counts - take, left)
     return take
