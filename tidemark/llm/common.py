@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: What separates words in the contracts: space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+_MADE: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,18 +42,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def parts_for(rows: int, each: int = 100_000) -> int:
+    """Tasks that so many small rows are worth."""
+    return max(1, -(-rows // each))
+
+
+def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; by ``parts`` tasks if its
+    size is known to be worth no more.
 
     Unlike ``localCheckpoint`` the table outlives any executor, and unlike ``checkpoint`` it is
     columnar, compressed and prunable.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that :func:`materialise` wrote in this process. Results that were not yet
+    written or collected can no longer be read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def nothing(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -69,10 +86,10 @@ def components(edges: DataFrame, local: bool = False) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    state = None
+    state, parts = None, parts_for(now.count())
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
+        low = materialise(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), parts)
         big = (
             both.where("v > u")
             .join(low, "u")
@@ -80,8 +97,8 @@ def components(edges: DataFrame, local: bool = False) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        big = materialise(big)
-        low = materialise(big.groupBy("u").agg(F.min("v").alias("m")))
+        big = materialise(big, parts)
+        low = materialise(big.groupBy("u").agg(F.min("v").alias("m")), parts)
         small = (
             big.join(low, "u")
             .where("v <> m")
@@ -89,7 +106,7 @@ def components(edges: DataFrame, local: bool = False) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = materialise(small)
+        now = materialise(small, parts)
         seen = now.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
         ).first()
