@@ -463,17 +463,20 @@ def reshared(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
 def test_mix(spark, sf):
     d = common.documents(spark, sf)
     got = mixing.mix(d).collect()
-    size, taken, target, least = Counter(), Counter(), {}, {}
+    size, taken, target, each = Counter(), Counter(), {}, defaultdict(list)
     for r in got:
         assert r.size == len(WORDS.findall(r.text)) and r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
         size[r.source] += r.size
         taken[r.source] += r.taken
         target[r.source] = r.target
-        if r.size:
-            least[r.source] = min(r.size, least.get(r.source, r.size))
+        each[r.source].append(r.size)
     want = reshared(size)
     for s in size:
-        assert math.isclose(target[s], want[s], rel_tol=1e-12) and abs(taken[s] - target[s]) <= max(1, least[s])
+        sums, (passes, left) = 1, divmod(target[s], size[s])
+        for x in each[s]:
+            sums |= sums << x
+        best = next(b for b in range(round(left), -1, -1) if sums >> b & 1)
+        assert math.isclose(target[s], want[s], rel_tol=1e-12) and taken[s] == passes * size[s] + best
     again = {(r.doc_id, r.taken) for r in mixing.mix(d.repartition(7)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
 
