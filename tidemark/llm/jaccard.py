@@ -81,7 +81,15 @@ def _heavy(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarra
             yield chunk(sets, len(sets))
 
     met = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "token long, n long")
-    top = met.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
+    # counts fall into classes of a quarter of an octave; whole classes are taken while they fit
+    level = F.floor(F.log2("n") * 4).cast("int")
+    sums = materialise(met.groupBy("token").agg(F.sum("n").alias("n")).withColumn("level", level))
+    lowest, room = None, HEAVY
+    for r in sums.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+        if r["k"] > room:
+            break
+        lowest, room = r["level"], room - r["k"]
+    top = sums.where(F.col("level") >= (lowest if lowest is not None else 1 << 30)).select("token", "n").toPandas()
     tokens = top["token"].to_numpy(np.int64).view(_U)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy(np.int64)[order]
