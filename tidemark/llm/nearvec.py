@@ -24,9 +24,11 @@ from .common import components, embeddings, materialise, nothing
 from .vectors import matrix, usable
 
 THRESHOLD = 0.9
-#: Vectors a block is meant to hold, and the most blocks: above, blocks grow instead.
+#: Vectors a block is meant to hold, and blocks up to which they stay so small: beyond, blocks grow,
+#: since each row goes to all blocks that its own meets, until LARGEST is what a task can hold.
 BLOCK = 6000
-MOST_BLOCKS = 4096
+FEW_BLOCKS = 64
+LARGEST = 200_000
 #: The first sum takes so many dimensions that on average the rest adds at most threshold - REST.
 REST = 0.4
 _TILE = 512
@@ -195,7 +197,7 @@ def dedup(
     along = F.aggregate(
         F.zip_with("vec", F.array(*[F.lit(float(x)) for x in axes[:, 0]]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
     ) / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    blocks = int(min(MOST_BLOCKS, max(1, -(-total // block))))
+    blocks = max(-(-total // LARGEST), min(FEW_BLOCKS, -(-total // block)))
     placed = classes.withColumn("x", along)
     ends = placed.approxQuantile("x", [i / blocks for i in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
     ends = sorted(set(ends))
@@ -204,14 +206,13 @@ def dedup(
         where = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col("x")))
     placed = placed.withColumn("block", where)
     ranges = {r["block"]: (r["lo"], r["hi"]) for r in placed.groupBy("block").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
-    meets = {b: [] for b in ranges}
+    # ranges follow each other, so what a block meets is a run of blocks
+    first, last = [0] * blocks, [-1] * blocks
     for p in ranges:
-        for q in ranges:
-            if _reach(ranges[p], ranges[q]) >= threshold - 1e-9:
-                meets[p].append(q)
-    names = sorted(ranges)
-    table_ = F.create_map(*[z for b in names for z in (F.lit(b), F.array(*[F.lit(m) for m in sorted(meets[b])]))])
-    sent = placed.withColumn("other", F.explode(F.element_at(table_, F.col("block"))))
+        met_ = [q for q in ranges if _reach(ranges[p], ranges[q]) >= threshold - 1e-9]
+        first[p], last[p] = min(met_), max(met_)
+    ends_of = lambda x: F.element_at(F.array(*[F.lit(v) for v in x]), F.col("block") + 1)
+    sent = placed.withColumn("other", F.explode(F.sequence(ends_of(first), ends_of(last))))
     sent = sent.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "vec")
     held = table.sparkSession.sparkContext.broadcast(axes)
 
