@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, langid, lines, mixing, packing
+from tidemark.llm import common, jaccard, langid, lines, mixing, packing
 from tidemark.llm.common import WORD, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is chosen with less than this are rejected, as are those without any.
 LEAST_SCORE = 0.3
 
+_OPEN: list[str] = []
 
+
+def stage(f):
+    """A stage is called when its predecessor is written: the tables in between that the
+    predecessor's plan read are no longer needed then and go."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.forget(spark, _OPEN)
+        before = common.made()
+        out = f(spark, docs, sf_dir)
+        _OPEN[:] = common.made_since(before)
+        return out
+
+    return run
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; ``lang`` becomes the predicted one."""
     found = langid.predict(docs.select(*COLUMNS), langid.train(docs))
@@ -22,6 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+@stage
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines removed; documents of which no word is left go."""
     found = lines.dedup(docs.select(*COLUMNS))
@@ -29,14 +49,20 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, similarity 0.8."""
     groups = jaccard.join(docs, size=5, percent=80)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_k"))
-    return docs.join(keep, same, "left_semi").select(*COLUMNS)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = common.materialise(first.groupBy(F.col("doc_id").alias("_k")).agg(F.count("*").alias("_n")))
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
+    if common.nothing(keep.where("_n > 1 and _k is not null")):
+        return kept
+    # rows of one doc_id are one document
+    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     mixed = mixing.mix(docs.select(*COLUMNS))
@@ -44,6 +70,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.where("taken > 0").withColumn("_t", F.explode(F.array_repeat(F.lit(1), times))).select(*COLUMNS)
 
 
+@stage
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's bucket, batch and slot."""
     packed = packing.pack(docs.select(*COLUMNS))

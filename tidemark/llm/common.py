@@ -61,13 +61,29 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that :func:`materialise` wrote in this process. Results that were not yet
-    written or collected can no longer be read."""
+def made() -> int:
+    """How many tables :func:`materialise` has written in this process and not deleted."""
+    return len(_MADE)
+
+
+def made_since(before: int) -> list[str]:
+    return _MADE[before:]
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that :func:`materialise` wrote. Results that read them and were not yet written
+    or collected can no longer be read."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _MADE:
+            _MADE.remove(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all of them, for instance between jobs of a long session."""
+    forget(spark, list(_MADE))
 
 
 def nothing(df: DataFrame) -> bool:

@@ -74,7 +74,7 @@ def _heavy(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarra
                 if len(s):
                     sets.append(s)
                     held += len(s)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield chunk(sets, len(sets))
                     sets, held = [], 0
         if sets:
@@ -193,7 +193,7 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
     for size in np.unique(length[(length > 1) & (length <= SHORT)]):  # short lists of one length at once
         at = start[length == size]
         x, y = np.triu_indices(size, 1)
-        step = max(1, 200_000 // len(x))
+        step = max(1, 60_000 // len(x))
         for k in range(0, len(at), step):
             base = at[k : k + step, None]
             put(*test((base + x).ravel(), (base + y).ravel()))
@@ -243,7 +243,7 @@ def _pairs(entries: DataFrame, percent: int, every: bool) -> DataFrame:
         for b in batches:
             kept.append(pa.Table.from_batches([b]))
             rows += b.num_rows
-            if rows < 200_000:
+            if rows < 60_000:
                 continue
             table = pa.concat_tables(kept)  # all but the last list are whole
             t, c = table.column("token").to_numpy(), table.column("cell").to_numpy()
