@@ -134,6 +134,18 @@ def test_neighbours_of_awkward_vectors(spark):
     assert ann.search(vectors(spark, []), F.col("vec_id") == 0).count() == 0
 
 
+def test_wider_tables(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 1, 32)) + 0.3 * rng.normal(size=(60, 12, 32))
+    x = x.reshape(-1, 32)
+    table = vectors(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)])
+    got = ann.search(table, F.col("vec_id") % 12 == 0, width=2, part=50).toPandas()
+    d = np.sqrt(((x[::12, None, :] - x[None]) ** 2).sum(axis=2))
+    d[np.arange(60), np.arange(0, 720, 12)] = np.inf
+    want = {12 * i: set(np.argsort(r)[:10]) for i, r in enumerate(d)}
+    assert sum(len(want[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) / 600 >= 0.9
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose((ann._hadamard(x) ** 2).sum(axis=1), 16 * (x**2).sum(axis=1))

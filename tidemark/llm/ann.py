@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: cross-polytope hashing.
 
 Unit vectors go through seeded pseudo-rotations (three rounds of random signs and a fast Hadamard
-transform) and are hashed to the nearest signed axis. Each table has its own rotation; a query
-probes the axes it lies nearest to, in order of closeness. What lies in probed buckets is ranked
+transform) and are hashed to the nearest signed axis. Each table has its own rotation, two or three
+of them for very many vectors; a query probes the axes it lies nearest to, in order of closeness. What lies in probed buckets is ranked
 exactly by Euclidean distance of the original vectors.
 
 Equal vectors are one entry with its smallest ids, which is all that a top-k can show of it.
@@ -26,6 +26,8 @@ PROBES = 20
 K = 10
 SEED = 17
 PART = 8192
+#: Beyond so many different vectors, a table hashes to two axes, and to three.
+WIDER = (4_000_000, 500_000_000)
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -44,33 +46,47 @@ def rotations(dim: int, tables: int = TABLES, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, 3, size))
 
 
-def axes(vectors: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each row after one table's pseudo-rotation; axis i is
-    i, its negative is i + size."""
+def near_axes(vectors: np.ndarray, signs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest signed axes of each row after one pseudo-rotation, and how near they are;
+    axis i is i, its negative is i + size."""
     size = signs.shape[1]
     x = np.zeros((len(vectors), size))
     x[:, : vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     for s in signs:
         x = _hadamard(x * s) / np.sqrt(size)
     both = np.concatenate([x, -x], axis=1)
-    probes = min(probes, 2 * size)
-    if probes == 1:
-        return both.argmax(axis=1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
-
-
-def _hashed(classes: DataFrame, dim: int, tables: int, probes: int, seed: int, carry: list[str]) -> DataFrame:
+    order = both.argmax(axis=1)[:, None] if most == 1 else np.argsort(-both, axis=1, kind="stable")[:, :most]
+    return order, np.take_along_axis(both, order, axis=1)
+
+
+def buckets(vectors: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest buckets of one table: a bucket is one axis for each of the table's
+    rotations, its nearness the sum of theirs. ``signs`` has the rotations of the table."""
+    base = 2 * signs.shape[2]
+    most = min(base, probes if len(signs) == 1 else int(np.ceil(2 * probes ** (1 / len(signs)))))
+    code, near = near_axes(vectors, signs[0], most)
+    for s in signs[1:]:
+        more, value = near_axes(vectors, s, most)
+        n = len(vectors)
+        code = (code[:, :, None] * base + more[:, None, :]).reshape(n, -1)
+        near = (near[:, :, None] + value[:, None, :]).reshape(n, -1)
+        best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        code, near = np.take_along_axis(code, best, axis=1), np.take_along_axis(near, best, axis=1)
+    return code[:, :probes]
+
+
+def _hashed(classes: DataFrame, dim: int, tables: int, width: int, probes: int, seed: int, carry: list[str]) -> DataFrame:
     """A row for each of ``classes``, table and probed axis: ``bucket`` and the ``carry`` columns."""
-    signs = rotations(dim, tables, seed)
-    size = 2 * signs.shape[2]
+    signs = rotations(dim, tables * width, seed).reshape(tables, width, 3, -1)
+    size = (2 * signs.shape[3]) ** width
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             vec = matrix(b.column("vec"))
-            for t in range(tables):
-                found = axes(vec, signs[t], probes)
+            for t in range(tables):  # bucket numbers of a table follow those of the one before
+                found = buckets(vec, signs[t], probes)
                 rows = np.repeat(np.arange(len(vec)), found.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(t * size + found.ravel(), pa.int64()), *[b.column(c).take(pa.array(rows)) for c in carry]],
@@ -105,7 +121,7 @@ def _rank(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def search(
     table: DataFrame, queries, k: int = K, vector: str = "embedding", key: str = "vec_id",
-    tables: int = TABLES, probes: int = PROBES, seed: int = SEED, part: int = PART,
+    tables: int = TABLES, probes: int | None = None, width: int | None = None, seed: int = SEED, part: int = PART,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``table`` that the condition ``queries``
     holds for, its k nearest other rows found, nearest first, ties to the smaller ``key``.
@@ -128,11 +144,16 @@ def search(
     asked = materialise(base.where("asks").select("vec", "id").distinct())
     asking = materialise(asked.groupBy("vec").agg(F.min("id").alias("query")))
 
-    index = _hashed(classes, dim, tables, 1, seed, ["entry", "vec"])
-    sizes = materialise(index.groupBy("bucket").agg(F.count("*").alias("n")))  # at most tables * 2 * dimension rows
+    n = classes.count()
+    # a bucket of one axis a table holds n / (2 * dimension) entries: more vectors take more axes
+    width = width or sum(n > m for m in (0, *WIDER))
+    probes = probes or PROBES * 8 ** (width - 1)
+    index = _hashed(classes, dim, tables, width, 1, seed, ["entry", "vec"])
+    sizes = materialise(index.groupBy("bucket").agg(F.count("*").alias("n")))
     parts = sizes.select("bucket", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    dealt = index.join(F.broadcast(parts), "bucket").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
-    probed = _hashed(asking, dim, tables, probes, seed, ["query", "vec"]).join(F.broadcast(parts), "bucket")
+    parts = F.broadcast(parts) if width < 3 else parts  # at most tables * (2 * dimension) ** width rows
+    dealt = index.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
+    probed = _hashed(asking, dim, tables, width, probes, seed, ["query", "vec"]).join(parts, "bucket")
     probed = probed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def rank(_, left, right):
