@@ -55,7 +55,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard.join(docs, size=5, percent=80)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = common.materialise(first.groupBy(F.col("doc_id").alias("_k")).agg(F.count("*").alias("_n")))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
+    kept = docs.join(common.small(keep), docs["doc_id"].eqNullSafe(F.col("_k")), "left_semi").select(*COLUMNS)
     if common.nothing(keep.where("_n > 1 and _k is not null")):
         return kept
     # rows of one doc_id are one document

@@ -61,6 +61,15 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a written table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, to be broadcast if it has at most ``rows`` rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def made() -> int:
     """How many tables :func:`materialise` has written in this process and not deleted."""
     return len(_MADE)
