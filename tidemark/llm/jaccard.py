@@ -362,6 +362,16 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
     return components(links.union(linking(rest, sets)))
 
 
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """``(token, c)``: lists of at least two; those of two or three whose sizes are too unlike go at once."""
+    size = F.col("n").cast("long")
+    lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.sum(size).alias("s"), F.min(size).alias("lo"), F.max(size).alias("hi"))
+    lists = lists.withColumn("mid", F.col("s") - F.col("lo") - F.col("hi"))
+    fits = lambda x, y: 100 * F.col(x) >= percent * F.col(y)
+    unlike = ((F.col("c") == 2) & ~fits("lo", "hi")) | ((F.col("c") == 3) & ~fits("lo", "mid") & ~fits("mid", "hi"))
+    return lists.where((F.col("c") > 1) & ~unlike).select("token", "c")
+
+
 def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row for each row of ``docs``.
 
@@ -379,14 +389,7 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int
     one = index.where("n > 0").groupBy("ha", "n").agg(F.min("doc_id").alias("low"), F.first(F.struct("sketch", "prefix")).alias("x"))
     classes = materialise(one.select(F.col("ha").alias("node"), "n", "low", "x.sketch", "x.prefix"))
     rows = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    # count and sum of sizes in one long; lists of two or three whose sizes are too unlike go at once
-    packed = F.sum(F.lit(1 << 44) + F.least("n", F.lit(1 << 24)))
-    lists = rows.groupBy("token").agg(packed.alias("s"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    lists = lists.select("token", "lo", "hi", F.shiftright("s", 44).alias("c"), (F.col("s") % (1 << 44) - F.col("lo") - F.col("hi")).alias("mid"))
-    fits = lambda x, y: 100 * F.col(x) >= percent * F.col(y)
-    known = F.col("hi") < (1 << 24)
-    unlike = known & (((F.col("c") == 2) & ~fits("lo", "hi")) | ((F.col("c") == 3) & ~fits("lo", "mid") & ~fits("mid", "hi")))
-    shared = materialise(lists.where((F.col("c") > 1) & ~unlike).select("token", "c"))
+    shared = materialise(_shared(rows, percent))
     entries = rows.join(shared, "token")
     entries = materialise(entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "c"))
     groups = _groups(docs, index, entries, classes.select("node", "sketch"), size, percent)
