@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -88,11 +89,15 @@ def stop_first_hit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _episodes(spark: SparkSession, d: str, maintain: policies.Policy) -> DataFrame:
-    b = dense30(spark, d).where("symbol = 'click'")
-    b = bars.bar_ids(b, [], "trade_date", "k").select("date_idx", "time_idx", "open", "high", "low", "close", "volume")
-    episodes = b.where(f"time_idx < {STEPS - 1}").select((F.col("date_idx") * STEPS + F.col("time_idx")).cast("long").alias("episode"), "date_idx", "time_idx")
+    b = bars.bar_ids(dense30(spark, d), ["symbol"], "trade_date", "k")
+    b = b.select("symbol", "date_idx", "time_idx", "open", "high", "low", "close", "volume")
     policy = policies.TradingPolicy(policies.OpenOnce(1), policies.ArtrStop(1.5), maintain, policies.SingleTrade())
-    x = simulate.rollout(episodes, b, policy, COSTS, max_steps=96)
+    out = []
+    for symbol in [r.symbol for r in b.select("symbol").distinct().orderBy("symbol").collect()]:
+        own = b.where(F.col("symbol").eqNullSafe(symbol)).drop("symbol")
+        episodes = own.where(f"time_idx < {STEPS - 1}").select((F.col("date_idx") * STEPS + F.col("time_idx")).cast("long").alias("episode"), "date_idx", "time_idx")
+        out.append(simulate.rollout(episodes, own, policy, COSTS, max_steps=96).withColumn("symbol", F.lit(symbol)))
+    x = functools.reduce(DataFrame.union, out)
     return x.withColumns({n: F.round(n, 6) for n in ("profit", "profit_percent")})
 
 
