@@ -162,9 +162,9 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     classes = suffixes.groupBy("key", "span").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     classes = materialise(classes.withColumn("alike", ~F.col("lo").eqNullSafe(F.col("hi"))))
 
-    # stretches that occur twice as a whole are repeated; those of their own are extended window by
-    # window, against one of each kind of stretch around the same gram
-    mixed = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.bool_and("alike").alias("done")).where("kinds > 1 and not done")
+    # stretches that occur twice as a whole are repeated; where a gram has several kinds of stretches
+    # around it, one of each is compared window by window: kinds may share a passage and its holder
+    mixed = classes.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     ask = materialise(classes.join(materialise(mixed.select("key")), "key").select("key", "span", "lo"))
     ends = suffixes.select("key", "span", "doc_id", "th", "first", "last").dropDuplicates()
     runs = ends.join(ask, ["key", "span"]).where(F.struct("doc_id", "th", "first").eqNullSafe(F.col("lo")))
