@@ -2,11 +2,17 @@
 
 Unit vectors go through seeded pseudo-rotations (three rounds of random signs and a fast Hadamard
 transform) and are hashed to the nearest signed axis. Each table has its own rotation, two or three
-of them for very many vectors; a query probes the axes it lies nearest to, in order of closeness. What lies in probed buckets is ranked
-exactly by Euclidean distance of the original vectors.
+of them where that is worth it; a query probes the axes it lies nearest to, in order of closeness.
+What lies in probed buckets is ranked exactly by Euclidean distance of the original vectors.
+
+How many buckets are probed, and how many axes name a bucket, is fitted: on a bounded sample of
+vectors (``FIT_ROWS``), neighbours are found by brute force, and the fewest probes are taken that
+meet ``RECALL`` of them. In the whole table neighbours are nearer than in a sample, and nearer
+vectors share buckets more often, so the sample errs towards more probes. All buckets may be probed.
 
 Equal vectors are one entry with its smallest ids, which is all that a top-k can show of it.
-Buckets beyond ``PART`` entries are dealt into parts, so a hot bucket is no hot task.
+Buckets beyond ``PART`` entries, or that more than ``PART`` queries probe, are dealt into cells, so a
+hot bucket is no hot task.
 """
 
 from __future__ import annotations
@@ -18,15 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import embeddings, materialise, nothing
+from .common import embeddings, materialise, nothing, small
 from .vectors import matrix, usable
 
 TABLES = 6
-PROBES = 20
 K = 10
 SEED = 17
 PART = 8192
-#: Beyond so many different vectors, a table hashes to two axes, and to three.
+#: The fit: neighbours to be met, vectors and queries of the sample, probes of a table of two axes or more.
+RECALL = 0.95
+FIT_ROWS = 20_000
+FIT_QUERIES = 256
+MOST_PROBES = 4096
+#: From so many different vectors on, tables of two axes are tried too, and of three.
 WIDER = (4_000_000, 500_000_000)
 
 
@@ -63,7 +73,11 @@ def buckets(vectors: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
     """The ``probes`` nearest buckets of one table: a bucket is one axis for each of the table's
     rotations, its nearness the sum of theirs. ``signs`` has the rotations of the table."""
     base = 2 * signs.shape[2]
-    most = min(base, probes if len(signs) == 1 else int(np.ceil(2 * probes ** (1 / len(signs)))))
+    if len(signs) == 1:
+        return near_axes(vectors, signs[0], min(base, probes))[0]
+    if probes > 64 and len(vectors) > 64:  # bounds the table of sums
+        return np.concatenate([buckets(vectors[i : i + 64], signs, probes) for i in range(0, len(vectors), 64)])
+    most = min(base, probes)
     code, near = near_axes(vectors, signs[0], most)
     for s in signs[1:]:
         more, value = near_axes(vectors, s, most)
@@ -72,7 +86,35 @@ def buckets(vectors: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
         near = (near[:, :, None] + value[:, None, :]).reshape(n, -1)
         best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
         code, near = np.take_along_axis(code, best, axis=1), np.take_along_axis(near, best, axis=1)
-    return code[:, :probes]
+    return code
+
+
+def needed_probes(sample: np.ndarray, signs: np.ndarray, k: int, recall: float = RECALL, queries: int = FIT_QUERIES) -> int | None:
+    """The fewest probes a table that meet ``recall`` of the k nearest neighbours inside ``sample``, by
+    brute force; None if ``MOST_PROBES`` of a table of several axes don't. ``signs`` has the rotations of all tables."""
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1
+    asked = sample[:queries]
+    # a neighbour's place in a table is how many buckets are probed before its own
+    base, width = 2 * signs.shape[3], signs.shape[1]
+    limit = base if width == 1 else min(MOST_PROBES, base**width)
+    own = np.stack([buckets(sample, t, 1)[:, 0] for t in signs])
+    order = np.stack([_nearest(x, i, sample, k) for i, x in enumerate(asked)])
+    met = np.full(order.shape, limit + 1)
+    for t, s in enumerate(signs):
+        probed = buckets(asked, s, limit)
+        for q in range(len(asked)):
+            place = {b: i + 1 for i, b in enumerate(probed[q].tolist())}
+            met[q] = np.minimum(met[q], [place.get(b, limit + 1) for b in own[t][order[q]].tolist()])
+    at = np.sort(met.ravel())[int(np.ceil(recall * met.size)) - 1]
+    return int(at) if at <= limit else None
+
+
+def _nearest(x: np.ndarray, own: int, sample: np.ndarray, k: int) -> np.ndarray:
+    d = ((sample - x) ** 2).sum(axis=1)
+    d[own] = np.inf
+    return np.argpartition(d, k - 1)[:k]
 
 
 def _hashed(classes: DataFrame, dim: int, tables: int, width: int, probes: int, seed: int, carry: list[str]) -> DataFrame:
@@ -98,25 +140,73 @@ def _hashed(classes: DataFrame, dim: int, tables: int, width: int, probes: int,
     return classes.select("vec", *[c for c in carry if c != "vec"]).mapInArrow(run, f"bucket long, {fields}")
 
 
+def _distances(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; scaled where squares would over- or underflow."""
+    diff = v - x
+    with np.errstate(over="ignore"):
+        out = np.sqrt((diff * diff).sum(axis=1))
+    odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+    if len(odd):
+        big = np.abs(diff[odd]).max(axis=1)
+        unit = diff[odd] / np.where(big > 0, big, 1)[:, None]
+        out[odd] = big * np.sqrt((unit * unit).sum(axis=1))
+    return out
+
+
+_NEAR = "query long, entry long, low long, score double"
+
+
 def _rank(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k + 1 nearest entries of one bucket part for each query, in blocks."""
-    empty = pd.DataFrame({"query": [], "entry": [], "score": []}).astype({"query": "int64", "entry": "int64", "score": "float64"})
+    """The k + 1 nearest entries of one cell for each query, ties to the smaller key.
+
+    Products sort out what is too far: their rounding error is bounded, and whatever may be among the
+    nearest within that bound is ranked by exact differences.
+    """
     if not len(left) or not len(right):
-        return empty
+        return pd.DataFrame({"query": [], "entry": [], "low": [], "score": []}).astype({"query": "int64", "entry": "int64", "low": "int64", "score": "float64"})
     q, v = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-    ids = right["entry"].to_numpy()
+    ids, lows, names = right["entry"].to_numpy(), right["low"].to_numpy(), left["query"].to_numpy()
+    take = min(len(v), k + 1)
+    middle, scale = v[0], max(np.abs(v).max(), np.abs(q).max())
+    moved = v / scale - middle / scale  # a common shift leaves distances as they are
+    norms = (moved * moved).sum(axis=1)
+    slack = 8 * (v.shape[1] + 8) * np.finfo(float).eps
+    far = np.sqrt(norms.max())
     out = []
-    norms = (v * v).sum(axis=1)
-    for at in range(0, len(q), 256):
-        block = q[at : at + 256]
-        near = norms[None, :] - 2 * (block @ v.T)
-        take = min(len(v), 2 * k + 6)
-        best = np.argpartition(near, take - 1, axis=1)[:, :take] if take < len(v) else np.tile(np.arange(len(v)), (len(block), 1))
-        for i, cols in enumerate(best):
-            exact = np.sqrt(((v[cols] - block[i]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[cols], exact))[: k + 1]
-            out.append((np.full(len(order), left["query"].iloc[at + i]), ids[cols][order], exact[order]))
-    return pd.DataFrame({"query": np.concatenate([o[0] for o in out]), "entry": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+    for at in range(0, len(q), 128):
+        block = q[at : at + 128] / scale - middle / scale
+        own = (block * block).sum(axis=1)
+        near = norms[None, :] - 2 * (block @ moved.T)
+        kth = np.partition(near, take - 1, axis=1)[:, take - 1]
+        # dividing and shifting round once each, relative to the largest component, which is 1
+        error = slack * ((np.sqrt(own) + far) ** 2 + (np.sqrt(own) + far) * np.sqrt(v.shape[1]))
+        close = near <= (kth + 2 * error)[:, None]
+        for i in range(len(block)):
+            cols = np.flatnonzero(close[i])
+            exact = _distances(v[cols], q[at + i])
+            order = np.lexsort((lows[cols], exact))[:take]
+            out.append((np.full(len(order), names[at + i]), ids[cols][order], lows[cols][order], exact[order]))
+    return pd.DataFrame({name: np.concatenate([o[c] for o in out]) for c, name in enumerate(("query", "entry", "low", "score"))})
+
+
+def _fitted(classes: DataFrame, dim: int, n: int, tables: int, seed: int, k: int, width: int | None) -> tuple[int, int]:
+    """Axes and probes a table: what meets the recall on the sample with the smallest share of all entries."""
+    some = classes.select("vec", F.xxhash64("vec", F.lit(seed)).alias("h"))
+    if n > 2 * FIT_ROWS:
+        some = some.where(F.col("h") < (2 * FIT_ROWS << 64) // n - (1 << 63))
+    rows = some.orderBy("h").limit(FIT_ROWS).collect()
+    sample = np.array([r["vec"] for r in rows], dtype=float)
+    sample /= np.abs(sample).max()
+    best = None
+    for w in [width] if width else [w for w, least in enumerate((0, *WIDER), 1) if n >= least]:
+        signs = rotations(dim, tables * w, seed).reshape(tables, w, 3, -1)
+        probes = needed_probes(sample, signs, k)
+        if probes is not None:
+            share = probes / (2 * signs.shape[3]) ** w
+            best = min(best, (share, w, probes)) if best else (share, w, probes)
+    if best is None:  # no probes up to the bound do on this table: all axes of one rotation
+        return 1, needed_probes(sample, rotations(dim, tables, seed).reshape(tables, 1, 3, -1), k)
+    return best[1], best[2]
 
 
 def search(
@@ -127,9 +217,11 @@ def search(
     holds for, its k nearest other rows found, nearest first, ties to the smaller ``key``.
 
     Vectors that are null, empty, zero or hold null or non-finite components, rows with a null key,
-    and vectors not of the commonest length take no part. Rows with equal keys are rows of their
-    own; a query never finds rows of its own key. A query whose probes find fewer than k rows is
-    ranked against all entries. Other columns are ignored. No rows in, no rows out.
+    and vectors not of the commonest length take no part. A key with several vectors is asked for and
+    found by its nearest one; each of them takes a place among a query's k + 1 nearest vectors, so that
+    fewer than k keys may be found. A query never finds its own key. A query whose probes
+    find fewer than k rows is ranked against all entries. ``probes`` and ``width`` are fitted unless
+    given. Other columns are ignored, whatever their names. No rows in, no rows out.
     """
     base = usable(table.select(F.col(key).alias("id"), F.col(vector).alias("v"), queries.alias("asks")), "v").where("id is not null")
     common = base.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -140,27 +232,36 @@ def search(
     base = base.where(F.size("vec") == dim)
     by = W.partitionBy("vec").orderBy("id")
     few = base.select("vec", "id").distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
-    classes = materialise(few.groupBy("vec").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids")))
+    # a key may have several vectors: entries and queries get numbers, which the written tables keep
+    number = F.monotonically_increasing_id()
+    classes = few.groupBy("vec").agg(F.min("id").alias("low"), F.array_sort(F.collect_list("id")).alias("ids"))
+    classes = materialise(classes.withColumn("entry", number))
     asked = materialise(base.where("asks").select("vec", "id").distinct())
-    asking = materialise(asked.groupBy("vec").agg(F.min("id").alias("query")))
+    asking = materialise(asked.select("vec").distinct().withColumn("query", number))
 
     n = classes.count()
-    # a bucket of one axis a table holds n / (2 * dimension) entries: more vectors take more axes
-    width = width or sum(n > m for m in (0, *WIDER))
-    probes = probes or PROBES * 8 ** (width - 1)
-    index = _hashed(classes, dim, tables, width, 1, seed, ["entry", "vec"])
-    sizes = materialise(index.groupBy("bucket").agg(F.count("*").alias("n")))
-    parts = sizes.select("bucket", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    parts = F.broadcast(parts) if width < 3 else parts  # at most tables * (2 * dimension) ** width rows
-    dealt = index.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
-    probed = _hashed(asking, dim, tables, width, probes, seed, ["query", "vec"]).join(parts, "bucket")
-    probed = probed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    if width is None or probes is None:
+        fit = _fitted(classes, dim, n, tables, seed, k, width)
+        width, probes = fit[0], probes or fit[1]
+    index = _hashed(classes, dim, tables, width, 1, seed, ["entry", "low", "vec"])
+    wanted = _hashed(asking, dim, tables, width, probes, seed, ["query", "vec"])
+    # cells of a bucket: parts of entries by parts of queries, both counted
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("n"))
+    loads = wanted.groupBy("bucket").agg(F.count("*").alias("m"))
+    cells = materialise(
+        sizes.join(loads, "bucket").select("bucket", F.ceil(F.col("n") / part).cast("int").alias("parts"), F.ceil(F.col("m") / part).cast("int").alias("turns"))
+    )
+    cells = small(cells)
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    deal = lambda c, by: F.pmod(F.xxhash64(c), F.col(by)).cast("int")
+    dealt = index.join(cells, "bucket").withColumn("part", deal("entry", "parts")).withColumn("turn", each("turns"))
+    probed = wanted.join(cells, "bucket").withColumn("turn", deal("query", "turns")).withColumn("part", each("parts"))
 
     def rank(_, left, right):
         return _rank(left, right, k)
 
-    fields = "query long, entry long, score double"
-    near = probed.groupBy("bucket", "part").cogroup(dealt.select("bucket", "part", "entry", "vec").groupBy("bucket", "part")).applyInPandas(rank, fields)
+    cell = ["bucket", "part", "turn"]
+    near = probed.select(*cell, "query", "vec").groupBy(*cell).cogroup(dealt.select(*cell, "entry", "low", "vec").groupBy(*cell)).applyInPandas(rank, _NEAR)
     near = materialise(near.distinct())
     return _answers(near, classes, asking, asked, k, part)
 
@@ -170,11 +271,11 @@ def _answers(near: DataFrame, classes: DataFrame, asking: DataFrame, asked: Data
     own = asking.join(asked, "vec").select("query", F.col("id").alias("query_id"))
 
     def top(found: DataFrame) -> DataFrame:
-        best = W.partitionBy("query").orderBy("score", "entry")
+        best = W.partitionBy("query").orderBy("score", "low")
         # k + 1 entries hold k rows besides the query's own
         few = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
         rows = few.join(ids, "entry").select("query", "score", F.explode("ids").alias("vec_id"))
-        each = rows.join(own, "query").where("vec_id <> query_id").select("query", "query_id", "vec_id", "score").distinct()
+        each = rows.join(own, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.min("query").alias("query"))
         order = W.partitionBy("query_id").orderBy("score", "vec_id")
         return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -182,12 +283,13 @@ def _answers(near: DataFrame, classes: DataFrame, asking: DataFrame, asked: Data
     short = own.join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
     short = materialise(short.where(F.coalesce("n", F.lit(0)) < k).select("query").distinct())
     if not nothing(short):
-        # few queries, against all entries in parts
-        left = asking.join(short, "query")
-        n = max(1, -(-classes.count() // part))
-        spread = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        all_ = classes.select("entry", "vec", F.pmod(F.xxhash64("entry"), F.lit(n)).cast("int").alias("part"))
-        full = spread.groupBy("part").cogroup(all_.groupBy("part")).applyInPandas(lambda _, a, b: _rank(a, b, k), "query long, entry long, score double")
+        # few queries, against all entries in parts, both dealt
+        left = asking.join(small(short), "query")
+        n, m = (max(1, -(-x.count() // part)) for x in (classes, short))
+        at = lambda c, x: F.pmod(F.xxhash64(c), F.lit(x)).cast("int")
+        spread = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("turn", at("query", m))
+        all_ = classes.select("entry", "low", "vec", at("entry", n).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("turn"))
+        full = spread.groupBy("part", "turn").cogroup(all_.groupBy("part", "turn")).applyInPandas(lambda _, a, b: _rank(a, b, k), _NEAR)
         again = materialise(top(full))
         found = found.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
