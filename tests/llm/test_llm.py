@@ -29,6 +29,14 @@ AWKWARD = [
 ]
 
 
+#: Names that operators might use for themselves.
+CLASH = ("rn", "_b", "_s", "_k0", "_n", "_in", "_before", "h", "key", "row", "salt", "_passes", "batch", "_t", "_th", "_di", "_gone", "_key", "_base", "_more", "base0", "lid")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit("x") for c in CLASH})
+
+
 @pytest.fixture(scope="module")
 def awkward(spark):
     return docs(spark, AWKWARD)
@@ -80,12 +88,15 @@ def test_release(spark):
     common._MADE[:] = kept
 
 
-def test_numbered(spark):
-    d = spark.range(500).select("id", F.when(F.col("id") < 400, F.lit(None).cast("string")).otherwise("b").alias("g"))
+@pytest.mark.parametrize("alike", [10_000, 20])
+def test_numbered(spark, alike):
+    d = spark.range(600).select(
+        F.when(F.col("id") >= 500, F.lit(7)).otherwise(F.col("id")).alias("x"), F.when(F.col("id") < 400, F.lit(None).cast("string")).otherwise("b").alias("g"), (F.col("id") % 5).alias("salt")
+    )
     got = defaultdict(list)
-    for r in common.numbered(d, ["g"], [F.col("id")], buckets=7).collect():
+    for r in common.numbered(common.materialise(d), ["g"], ["x"], 7, alike).collect():
         got[r.g].append(r.rn)
-    assert sorted(got[None]) == list(range(1, 401)) and sorted(got["b"]) == list(range(1, 101))
+    assert sorted(got[None]) == list(range(1, 401)) and sorted(got["b"]) == list(range(1, 201))
 
 
 def test_word_hasher():
@@ -134,18 +145,6 @@ def test_neighbours_of_awkward_vectors(spark):
     assert ann.search(vectors(spark, []), F.col("vec_id") == 0).count() == 0
 
 
-def test_wider_tables(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(60, 1, 32)) + 0.3 * rng.normal(size=(60, 12, 32))
-    x = x.reshape(-1, 32)
-    table = vectors(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)])
-    got = ann.search(table, F.col("vec_id") % 12 == 0, width=2, part=50).toPandas()
-    d = np.sqrt(((x[::12, None, :] - x[None]) ** 2).sum(axis=2))
-    d[np.arange(60), np.arange(0, 720, 12)] = np.inf
-    want = {12 * i: set(np.argsort(r)[:10]) for i, r in enumerate(d)}
-    assert sum(len(want[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) / 600 >= 0.9
-
-
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose((ann._hadamard(x) ** 2).sum(axis=1), 16 * (x**2).sum(axis=1))
@@ -340,7 +339,13 @@ def test_batches(spark, table, awkward):
     for rows in batches.values():
         assert sorted(r.slot for r in rows) == list(range(len(rows)))
         assert len(rows) == 1 or rows[0].bucket_len * len(rows) <= 4000
-    assert packing.pack(awkward.withColumn("batch", F.lit("x"))).count() == len(AWKWARD)
+    back = packing.pack(clashing(awkward)).collect()
+    assert len(back) == len(AWKWARD) and all([r[c] for c in CLASH if c != "batch"] == ["x"] * (len(CLASH) - 1) for r in back)
+    slots = defaultdict(list)
+    for r in back:
+        assert r.n_tokens == len(WORDS.findall(r.text or "")) <= r.bucket_len
+        slots[(r.bucket, r.batch)].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert packing.pack(docs(spark, [])).count() == 0
 
 
@@ -494,12 +499,28 @@ def test_mix(spark, sf):
 
 
 def test_mix_awkward(spark, awkward):
-    d = awkward.withColumn("taken", F.lit("clash"))
-    got = mixing.mix(d).collect()
+    got = mixing.mix(clashing(awkward).withColumn("taken", F.lit("clash"))).collect()
     assert len(got) == len(AWKWARD) and all(r.source_size == sum(x.size for x in got) for r in got)
+    assert all([r[c] for c in CLASH] == ["x"] * len(CLASH) for r in got)
+    total = sum(r.size for r in got)  # half of the text of 5000 words can't be taken, all others can once more
+    assert all(r.taken in (r.size, 2 * r.size) for r in got) and sum(r.taken for r in got) == 2 * total - 5000
     assert mixing.mix(docs(spark, [])).count() == 0
-    blank = mixing.mix(docs(spark, [(1, None, None, "a"), (2, "x y", None, "b")])).collect()
-    assert {(r.doc_id, r.target, r.taken) for r in blank} == {(1, 0.0, 0), (2, 3.0, 2)} or {(r.doc_id, r.target) for r in blank} == {(1, 0.0), (2, 3.0)}
+    blank = mixing.mix(docs(spark, [(1, None, None, "a"), (2, "x y", None, "b"), (3, "z", None, None)])).collect()
+    assert {(r.doc_id, r.target, r.taken) for r in blank} == {(1, 0.0, 0), (2, 3.0, 2), (3, 1.5, 1)}
+
+
+def test_mix_of_one_text_very_often(spark, monkeypatch):
+    monkeypatch.setattr(common, "ALIKE", 20)
+    d = docs(spark, [(1, "a b", None, "s")] * 500 + [(i, "a b c", None, "s") for i in range(2, 100)])
+    got = mixing.mix(d).collect()
+    assert len(got) == 598 and sum(r.taken for r in got) == 1.5 * (1000 + 3 * 98)
+
+
+def test_knapsack_reaches_what_can_be_reached():
+    lengths = np.array([1, *range(10, 10009, 2)])
+    assert (mixing.fit(lengths, np.ones(len(lengths), int), 32767) * lengths).sum() == 32767
+    take = mixing._knapsack(np.arange(3, 90, 2), np.ones(44, int), 400, segment=3)
+    assert (take * np.arange(3, 90, 2)).sum() == 400 and take.max() == 1
 
 
 def test_fit_is_exact_when_it_can_be():

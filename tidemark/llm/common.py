@@ -2,12 +2,14 @@
 
 * :func:`materialise` cuts lineage by writing a Parquet table in the shared checkpoint folder.
 * :func:`components` finds connected components with star contraction, DataFrame functions only.
-* :func:`numbered` numbers rows inside groups of any size without putting a group into one task.
+* :func:`sized` and :func:`numbered` count words once and number rows inside groups of any size
+  without putting a group into one task.
 * :class:`WordHasher` hashes the words of many texts at once with numpy (used inside Arrow UDFs).
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,14 +32,17 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Without one, a local
+    session makes a temporary folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get()
-    made = tempfile.mkdtemp(prefix="tidemark-")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="tidemark-")  # one machine, one process
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -142,37 +147,48 @@ def components(edges: DataFrame, local: bool = False) -> DataFrame:
     return root.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def numbered(
-    df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", buckets: int = 256
-) -> DataFrame:
-    """Add ``name``: 1, 2, ... inside each group of ``keys``, in order of a hash bucket of
-    ``order`` and then of ``order`` itself.
+#: Rows alike beyond so many are dealt into SALTS parts.
+ALIKE = 10_000
+SALTS = 64
 
-    A group may hold any share of all rows: it is dealt into ``buckets`` hash buckets, each
-    numbered alone and shifted by the sizes of the buckets before it.
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], buckets: int, alike: int | None = None) -> DataFrame:
+    """Add ``rn``: 1, 2, ... inside each group of ``keys``, in order of a hash bucket of ``order`` and
+    then of ``order`` itself. ``df`` is a written table with column names of our own; its ``salt``, a
+    number below :data:`SALTS`, tells rows of equal order apart.
+
+    A group may hold any share of all rows, and so may rows of equal order: a group is dealt into
+    hash buckets, and what comes more often than ``alike`` into salted buckets of its own, each numbered
+    alone and shifted by the sizes of those before it. Which of rows of equal order comes first is open.
     """
     from pyspark.sql import Window as W
 
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = df.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(
-        W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    )
-    shift = sizes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_b").alias("_kb"),
-        F.coalesce(before, F.lit(0)).alias("_before"),
-    )
-    inside = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order))
-    same = F.col("_b") == F.col("_kb")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return (
-        df.withColumn("_in", inside)
-        .join(shift, same)
-        .withColumn(name, (F.col("_in") + F.col("_before")).cast("long"))
-        .drop("_b", "_kb", "_in", "_before", *[f"_k_{k}" for k in keys])
-    )
+    match = lambda names, by: [F.col(k).eqNullSafe(F.col(f"_{by}{i}")) for i, k in enumerate(names)]
+    both = lambda tests: functools.reduce(lambda x, y: x & y, tests)
+    name = [*keys, *order]
+    hot = df.groupBy(*name).agg(F.count("*").alias("_n")).where(F.col("_n") > (ALIKE if alike is None else alike))
+    hot = materialise(hot.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(name)], F.lit(True).alias("_hot")))
+    bucket, salt = F.pmod(F.xxhash64(*order), F.lit(buckets)), F.lit(0)
+    if not nothing(hot):
+        df = df.join(small(hot), both(match(name, "h")), "left").drop(*[f"_h{i}" for i in range(len(name))])
+        bucket, salt = F.when(F.col("_hot"), F.lit(buckets) + F.pmod(F.xxhash64(*order), F.lit(1 << 40))).otherwise(bucket), F.when(F.col("_hot"), F.col("salt")).otherwise(0)
+    df = df.withColumns({"_b": bucket, "_s": salt}).drop("_hot")
+    cell = [*keys, "_b", "_s"]
+    sizes = df.groupBy(*cell).agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_b", "_s").rowsBetween(W.unboundedPreceding, -1)
+    shift = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(cell)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*cell).orderBy(*order))
+    found = df.withColumn("_in", inside).join(shift, both(match(cell, "k"))).withColumn("rn", (F.col("_in") + F.col("_before")).cast("long"))
+    return found.drop("_b", "_s", "_in", "_before", *[f"_k{i}" for i in range(len(cell))])
+
+
+def sized(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """A written table ``(row, size, salt)``: ``columns`` of ``docs`` as one struct, which no name can clash
+    with; the number of words of the text, counted once (0 for a null text); and a number for
+    :func:`numbered`, which stays as it is however often the table is read."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    return materialise(docs.select(row, size.alias("size"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")))
 
 
 def slices(batches, rows: int = 1000):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialise, numbered
+from .common import documents, materialise, numbered, parts_for, sized, small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,7 +30,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
     Weights repeat over the sources by code point, null last. Water filling: with the sources in
     order of the level at which they stop, the first level that no later source exceeds is the
-    one at which nothing is above its limit. One row a source is sorted in one task.
+    one at which nothing is above its limit. The rows are one a source, whatever they weigh; they are
+    sorted in one task, which is good for some millions of sources.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     i = (F.row_number().over(by_name) - 1) % len(weights)
@@ -80,31 +81,40 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
     return take
 
 
-def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: the reachable sums are the bits of one integer; counts go in by powers of two."""
+def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int, segment: int = 256) -> np.ndarray:
+    """Bounded subset sum: the reachable sums are the bits of one integer; counts go in by powers of two.
+
+    Sums are kept once a ``segment`` of items and made again on the way back, so that memory is
+    bounded by 2 * segment integers for any number of lengths below the budget, without a cap.
+    """
     mask = (1 << (budget + 1)) - 1
-    reach, items = [1], []
+    items = []
     for i in np.argsort(-lengths, kind="stable"):
         n, step = min(int(free[i]), budget // int(lengths[i])), 1
         while n > 0:
             step = min(step, n)
-            reach.append((reach[-1] | reach[-1] << (step * int(lengths[i]))) & mask)
-            items.append((i, step))
+            items.append((int(i), step, step * int(lengths[i])))
             n -= step
             step *= 2
-            if reach[-1] >> budget & 1:
-                n = 0
-        if reach[-1] >> budget & 1:
-            break
-        if len(items) > 4096:  # keep the table of sums bounded: go on with what is reachable so far
+    reach, kept, used = 1, [1], 0
+    for i, _, words in items:
+        if reach >> budget & 1:
             break
-    best = reach[-1].bit_length() - 1
+        reach |= reach << words & mask
+        used += 1
+        if used % segment == 0:
+            kept.append(reach)
+    best = reach.bit_length() - 1
     take = np.zeros(len(lengths), dtype=np.int64)
-    for k in range(len(items) - 1, -1, -1):
-        i, step = items[k]
-        if not reach[k] >> best & 1:
-            take[i] += step
-            best -= step * int(lengths[i])
+    for at in range((used - 1) // segment, -1, -1):
+        some = items[at * segment : min((at + 1) * segment, used)]
+        sums = [kept[at]]
+        for _, _, words in some:
+            sums.append(sums[-1] | sums[-1] << words & mask)
+        for before, (i, step, words) in zip(sums[-2::-1], some[::-1]):
+            if not before >> best & 1:
+                take[i] += step
+                best -= words
     return take
 
 
@@ -117,39 +127,35 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "size"]].assign(_passes=passes, _extra=take)
 
 
-def mix(docs: DataFrame, seed: int = SEED, **kw) -> DataFrame:
-    """Add ``size``, ``source_size``, ``target`` and ``taken`` to every row of ``docs``.
+def mix(
+    docs: DataFrame, seed: int = SEED, text: str = "text", source: str = "source", key: str = "doc_id", columns: list[str] | None = None, **kw
+) -> DataFrame:
+    """Add ``size``, ``source_size``, ``target`` and ``taken`` to ``columns`` (all) of every row of ``docs``.
 
     A null or blank text has size 0 and is taken 0 times. A null source is a source of its own,
     last in order. Repeated rows count each; of rows alike in doc_id and length any may be taken,
-    which rows alike makes no difference. Extra columns pass through; the four added names
-    replace columns of the same names. No rows in, no rows out.
+    which makes no difference where rows are alike. Extra columns pass through, whatever their
+    names; the four added names replace columns of the same names. No rows in, no rows out.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(*keep, size.alias("size"))
-    hist = materialise(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    goal = targets(
-        hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), **kw
-    )
-    goal = materialise(goal)
-    g = goal.select(F.col("source").alias("_s"), "source_size", "target")
-    plan = (
-        hist.where("size > 0")
-        .join(g, F.col("source").eqNullSafe(F.col("_s")))
-        .select("source", "size", "n", "target")
-        .groupBy("source")
-        .applyInPandas(_fit_source, "source string, size long, _passes long, _extra long")
-    )
-    plan = materialise(plan).select(F.col("source").alias("_ps"), F.col("size").alias("_pz"), "_passes", "_extra")
-    ranked = numbered(sized, ["source", "size"], [F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id")])
+    added = ("size", "source_size", "target", "taken")
+    kept = [c for c in columns or docs.columns if c not in added]
+    table = sized(docs, text, list(dict.fromkeys([*kept, source, key])))
+    rows = table.select("row", "size", "salt", F.col(f"row.`{source}`").cast("string").alias("source"), F.col(f"row.`{key}`").alias("key"))
+    hist = materialise(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    goal = materialise(targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")), **kw))
+    plan = hist.where("size > 0").join(goal, hist["source"].eqNullSafe(goal["source"])).select(hist["source"], "size", "n", "target")
+    plan = materialise(plan.groupBy("source").applyInPandas(_fit_source, "source string, size long, _passes long, _extra long"))
+    plan = small(plan.select(F.col("source").alias("_ps"), F.col("size").alias("_pz"), "_passes", "_extra"))
+    total = hist.agg(F.sum("n")).first()[0] or 0
+    ordered = rows.withColumn("h", F.xxhash64(F.lit(seed), "key"))
+    ranked = numbered(ordered, ["source", "size"], ["h", "key"], parts_for(total))
     same = F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz"))
+    g = small(goal.select(F.col("source").alias("_s"), "source_size", "target"))
     picked = ranked.join(plan, same, "left").join(g, F.col("source").eqNullSafe(F.col("_s")))
     times = F.col("_passes") + F.when(F.col("rn") <= F.col("_extra"), 1).otherwise(0)
     taken = F.coalesce(F.col("size") * times, F.lit(0)).cast("long")
-    return picked.select(*keep, "size", "source_size", "target", taken.alias("taken"))
+    return picked.select(*[F.col(f"row.`{c}`") for c in kept], "size", "source_size", "target", taken.alias("taken"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir), columns=["doc_id"])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialise, numbered
+from .common import documents, numbered, parts_for, sized
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -58,36 +58,36 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return cuts[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
-    """Add ``n_tokens, bucket, bucket_len, batch, slot`` to every row of ``docs``.
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = SEED, text: str = "text", key: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+    """Add ``n_tokens, bucket, bucket_len, batch, slot`` to ``columns`` (all) of every row of ``docs``.
 
     Tokens are words. The histogram of all lengths decides the bucket ends; its rows on the driver
     are bounded by the number of distinct lengths, at most sqrt(2 * all tokens). A batch holds
     floor(budget / bucket_len) documents of one bucket, at least one, so that padded it stays in
     the budget; a document over the budget is a batch of its own. Null and blank texts have
     length 0 and share the bucket they fall in. Repeated rows are packed each. Extra columns pass
-    through; the five added names replace columns of the same names. No rows in, no rows out.
+    through, whatever their names; the five added names replace columns of the same names. No rows
+    in, no rows out.
     """
     added = ("n_tokens", "bucket", "bucket_len", "batch", "slot")
-    keep = [c for c in docs.columns if c not in added]
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(*keep, size.alias("n_tokens"))
-    hist = sorted((r["n_tokens"], r["n"]) for r in sized.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
+    kept = [c for c in columns or docs.columns if c not in added]
+    table = sized(docs, text, list(dict.fromkeys([*kept, key])))
+    hist = sorted((r["size"], r["n"]) for r in table.groupBy("size").agg(F.count("*").alias("n")).collect())
+    total = sum(h[1] for h in hist)
     ends = boundaries(np.array([h[0] for h in hist], dtype=np.int64), np.array([h[1] for h in hist], dtype=np.int64), buckets)
-    table = F.array(*[F.lit(int(e)).cast("long") for e in ends]) if ends else F.array(F.lit(0).cast("long"))
-    bucket = F.size(F.filter(table, lambda e: e < F.col("n_tokens")))
-    placed = sized.withColumn("bucket", bucket.cast("long"))
-    placed = placed.withColumn("bucket_len", F.get(table, F.col("bucket").cast("int")))
-    ranked = numbered(placed, ["bucket"], [F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("n_tokens")), F.col("doc_id"), F.col("n_tokens")])
+    ends_ = F.array(*[F.lit(int(e)).cast("long") for e in ends]) if ends else F.array(F.lit(0).cast("long"))
+    placed = table.withColumn("bucket", F.size(F.filter(ends_, lambda e: e < F.col("size"))).cast("long"))
+    placed = placed.withColumn("bucket_len", F.get(ends_, F.col("bucket").cast("int")))
+    placed = placed.withColumn("key", F.col(f"row.`{key}`")).withColumn("h", F.xxhash64(F.lit(seed), "key", "size"))
+    ranked = numbered(placed, ["bucket"], ["h", "key", "size"], parts_for(total))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
     at = F.col("rn") - 1
     return ranked.select(
-        *keep, "n_tokens", "bucket", "bucket_len",
+        *[F.col(f"row.`{c}`") for c in kept], F.col("size").alias("n_tokens"), "bucket", "bucket_len",
         F.floor(at / room).cast("long").alias("batch"),
         (at % room).cast("long").alias("slot"),
-    )
+    )
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pack(docs).drop("text")
+    return pack(documents(spark, sf_dir), columns=["doc_id"])
