@@ -224,45 +224,6 @@ def test_repeats_awkward(awkward, spark):
 # ---------------------------------------------------------------- 3: lines
 
 
-def test_simhash(spark):
-    d = docs(spark, [(1, "a b c d e f g"), (2, " ".join(f"w{i % 700}" for i in range(1500)))])
-    ln = lines._lines(d, "text")
-    ln = ln.withColumn("words", lines.words_of(F.col("norm")))
-    hashes = {r.w: r.h for r in ln.select(F.explode("words").alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
-    words = {r.lid: list(r.words) for r in ln.collect()}
-    for r in lines.simhashes(ln).collect():
-        h = [hashes[w] for w in set(words[r.lid])]
-        assert r.sim == sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def test_line_groups_against_brute_force(spark):
-    rng = np.random.default_rng(8)
-    base = [[f"t{x}" for x in rng.integers(0, 500, 60)] for _ in range(6)]
-    rows = []
-    for i in range(60):
-        w = list(base[i % 6])
-        for _ in range(int(rng.integers(0, 3))):
-            w[rng.integers(0, 60)] = f"new{rng.integers(0, 99)}"
-        rows.append((i, " ".join(w)))
-    d = docs(spark, rows)
-    occ = lines.simhashes(lines._lines(d, "text")).cache()
-    got = {r.node: r.root for r in lines.links(d, occ, "text").collect()}
-    line = {r.lid: (r.sim, rows[r.doc_id][1].split()) for r in occ.collect()}
-
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    pairs = [(a, b) for a, b in itertools.combinations(line, 2) if bin(line[a][0] ^ line[b][0]).count("1") <= 2 and edits(line[a][1], line[b][1]) <= 0.1 * max(len(line[a][1]), len(line[b][1]))]
-    want = groups(line, pairs)
-    assert pairs and {k: got.get(k, k) for k in line} == want
-
-
 def test_lines_removed(spark, awkward):
     d = docs(spark, [(2, "Same line here\nown text"), (1, "same LINE\there \nother\n\nother"), (3, "Same line here"), (3, "Same line here")])
     got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup(d).collect())
@@ -293,6 +254,14 @@ def test_language_awkward(spark, awkward, table):
     assert langid.predict(docs(spark, []), langid.train(table)).count() == 0
 
 
+def test_rare_languages_and_late_words_are_learnt(spark):
+    rows = [(i, f"the house and tree number{i}", "en") for i in range(1500)] + [(5000 + i, "la maison " * 4000 + "arbre foret riviere", "fr") for i in range(7)]
+    rows += [(9000, "wiederholt und wiederholt", "de")] * 300
+    model = langid.train(docs(spark, rows), sample=50)
+    s = model.scorer()
+    assert model.langs == ["de", "en", "fr"] and s("foret")[0] == "fr" and s("tree")[0] == "en" and s("wiederholt")[0] == "de"
+
+
 def test_backoff_goes_from_words_to_short_grams():
     m = langid.Model.fit([("haus haus baum baum", "de"), ("house house tree tree", "en")])
     s = m.scorer()
@@ -440,9 +409,47 @@ def test_disclosing_terms(spark):
     found = personal.find(docs(spark, rows).withColumn("spans", F.lit(1)))
     got = {r.doc_id: r for r in found.select("doc_id", "text", personal._joined(F.col("base")).alias("b"), personal._joined(F.col("spans")).alias("s")).collect()}
     assert got[300].b == "email:20:36" and got[300].s.split(",")[0] == "term:0:7" and got[300].s.count("term") == 4 and got[300].text[0:7] == "Zebulon"
-    assert "term" not in got[5].s and got[400].s == "" and got[401].s == got[401].b and got[402].s == ""
+    assert "term" not in got[5].s and got[400].s == "term:0:7" and got[401].s == got[401].b and got[402].s == ""
     clean = {r.doc_id: r.text for r in personal.sanitise(found).select("doc_id", "text").collect()}
     assert "zed@" not in clean[301] and "Zebulon" not in clean[301] and "<email>" in clean[301] and clean[7] == rows[7][1]
+    assert clean[400] == " common words" and clean[402] is None
+
+
+def test_disclosure_by_definition(spark):
+    """Term spans against counts in plain Python, over texts with entities of different spread."""
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+    rows = []
+    for i in range(300):
+        w = list(rng.choice(words, 12))
+        if i % 9 == 0:
+            w += [f"mail u{i % 4}@site{i % 4}.example", f"nick{'abcd'[i % 4]}"]
+        if i % 60 == 7:
+            w.append("nicka")
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.s.split(",") if r.s else [] for r in personal.find(docs(spark, rows)).select("doc_id", personal._joined(F.col("spans")).alias("s")).collect()}
+    texts = {t for _, t in rows}
+    entities = {t: {m.group() for m in re.finditer(BASE[0][1], t)} for t in texts}
+    terms = {t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(BASE[0][1], " ", t))} for t in texts}
+    in_all = Counter(w for t in texts for w in {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)})
+    told, n = set(), len(texts)
+    for e, n_e in Counter(e for t in texts for e in entities[t]).items():
+        for w, n_et in Counter(w for t in texts if e in entities[t] for w in terms[t]).items():
+            if n_e >= 3 and n_et >= 3 and math.log(n * n_et / (n_e * in_all[w])) >= 0.9 * math.log(n / n_e):
+                told.add(w)
+    assert told and told < set(words) | {f"nick{c}" for c in "abcd"}
+    for i, t in rows:
+        inside = [m.span() for m in re.finditer(BASE[0][1], t)]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![^\W\d_])[^\W\d_]+(?![^\W\d_])", t) if m.group().lower() in told and not any(m.start() < e and s < m.end() for s, e in inside)]
+        assert [x for x in got[i] if x.startswith("term")] == want
+
+
+def test_overlapping_spans_are_cut_as_one(spark):
+    rows = [(1, "write to bob@10.0.0.1 today please"), (2, "4111 1111 1111 1111, a@b.cd é"), (3, None), (4, "")]
+    found = personal.find(clashing(docs(spark, rows)))
+    got = {r.doc_id: r for r in personal.sanitise(found).collect()}
+    assert got[1].text == "write to <email> today please" and got[2].text == "<card>, <email> é"
+    assert got[3].text is None and got[4].text == "" and got[1]._base == "x" and got[1]._key == "x"
 
 
 def test_personal_query(spark, sf, texts):
@@ -547,7 +554,7 @@ def test_pipeline(spark, sf):
     assert a.columns == list(cp.COLUMNS) and a.count() >= 0.97 * raw.count()
     b = common.materialise(stages["line dedup"](spark, a, sf))
     assert b.columns == list(cp.COLUMNS) and b.where("n_chars <> length(text)").count() == 0
-    seen = Counter(line for r in b.collect() for line in r.text.split("\n") if re.search(r"\S", line))
+    seen = Counter(line for r in b.collect() for line in r.text.split("\n") if re.search(r"\w", line))
     assert max(seen.values()) == 1
     c = common.materialise(stages["n-gram Jaccard join"](spark, b, sf))
     left = {r.doc_id: r.text for r in b.collect()}

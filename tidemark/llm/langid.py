@@ -2,8 +2,9 @@
 
 Known words are scored by their per-language log frequency. An unseen word falls back to its
 longest character n-grams that any language knows, from five characters down to one. The tables
-come from a bounded sample of labelled rows (``SAMPLE`` documents and ``WORDS``/``GRAMS`` entries
-a language); every document is then scored over its whole text.
+come from a sample of labelled texts bounded for each language (``SAMPLE`` different texts, read
+whole, and ``WORDS``/``GRAMS`` entries); every document is then scored over its whole text. Words of
+the sample are counted on executors, and only the frequent ones of each language reach the driver.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, materialise, slices, small
 
-#: Bounds of the fit: labelled documents, characters of each that are learnt from, table entries.
-SAMPLE = 3000
-CHARS = 20_000
+#: Bounds of the fit for each language: different labelled texts, words and n-grams of the tables, and
+#: words that n-grams are learnt from.
+SAMPLE = 1000
 WORDS = 30_000
 GRAMS = 20_000
+LEARNT = 60_000
 LONGEST = 5
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,13 +58,18 @@ class Model:
         by: dict[str, Counter] = {}
         for text, lang in rows:
             by.setdefault(lang, Counter()).update(words_of(text))
+        return cls.of(by, words, grams)
+
+    @classmethod
+    def of(cls, by: dict[str, Counter], words: int = WORDS, grams: int = GRAMS) -> "Model":
+        """From the counts of each language's words."""
         by = {k: c for k, c in by.items() if c}
         out, parts = cls(sorted(by)), []
         # words seen once say little about unseen text and are left to the n-grams
         often = {k: Counter({w: n for w, n in c.items() if n > 1} or c) for k, c in by.items()}
         out.words = out._logs(often, words, parts)
         for n in range(LONGEST, 0, -1):
-            counts = {k: Counter(g for w, _ in c.most_common(words * 4) for g in grams_of(w, n)) for k, c in by.items()}
+            counts = {k: Counter(g for w in c for g in grams_of(w, n)) for k, c in by.items()}
             out.grams[n] = out._logs(counts, grams, parts)
         out.rows = np.concatenate(parts) if parts else np.zeros((0, len(out.langs)))
         return out
@@ -111,20 +119,37 @@ class Model:
         return score
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on the ``sample`` labelled rows of lowest hash; never on held-out rows.
+def train(docs: DataFrame, sample: int = SAMPLE, learnt: int = LEARNT) -> Model:
+    """Fit on the ``sample`` different labelled texts of lowest hash of each language; never on held-out rows.
 
-    A count says below which hash about twice as many lie, and only those are collected: what the
-    driver gets doesn't grow with the table or its partitions.
+    A copy of a text counts once, so a text repeated very often is learnt as one and never collected as
+    many. The first count says for each language below which hash about twice as many rows lie; those are
+    ranked, and the words of the lowest counted. ``learnt`` words of a language reach the driver.
     """
-    labelled = docs.where(~held_out()).where("lang is not null and text is not null")
-    labelled = labelled.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    n = labelled.count()
-    if n > 2 * sample:
-        labelled = labelled.where(F.col("h") < (2 * sample << 64) // n - (1 << 63))
-    rows = labelled.select(F.substring("text", 1, CHARS).alias("text"), "lang", "h").collect()
-    rows = sorted(rows, key=lambda r: (r["h"], r["text"], r["lang"]))[:sample]
-    return Model.fit([(r["text"], r["lang"]) for r in rows])
+    labelled = docs.where(~held_out()).where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    top = F.when(F.col("n") > 2 * sample, F.floor(F.lit(2.0**64 * 2 * sample) / F.col("n")) - F.lit(2.0**63)).otherwise(F.lit(2.0**63))
+    # one row a language
+    limit = materialise(sizes.select(F.col("lang").alias("l"), top.alias("top")))
+    low = labelled.join(small(limit), F.col("lang") == F.col("l")).where(F.col("h") <= F.col("top")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = low.withColumn("r", rank).where(F.col("r") <= sample).select("lang", "text")
+
+    def count(batches):
+        by: dict[str, Counter] = {}
+        for b in slices(batches, 250):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(lang, Counter()).update(words_of(text))
+        for lang, c in by.items():
+            words = list(c)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.string()), pa.array([c[w] for w in words], pa.int64())], names=["lang", "word", "n"])
+
+    words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    by: dict[str, Counter] = {}
+    for r in words.withColumn("r", first).where(F.col("r") <= learnt).orderBy("lang", "word").collect():
+        by.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    return Model.of(by)
 
 
 def held_out():
@@ -137,7 +162,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 for a null text, one without letters, or a model without languages. The
     score is the posterior of the chosen language under equal priors. Ties go to the first
     language by name. Repeated rows get equal results; the two added names replace columns of the
-    same names, other columns pass through.
+    same names, other columns pass through, whatever their names.
     """
     docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
