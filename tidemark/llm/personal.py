@@ -4,7 +4,8 @@ Base spans are e-mail addresses, IP addresses, card numbers and telephone number
 are the protected entities. Over the distinct texts of the whole corpus, co-occurrence estimates
 how much a term tells about an entity: the pointwise mutual information of term and entity, held
 against the entity's own information content. A term that gives away at least ``DISCLOSE`` of it is
-a span too; :func:`sanitise` generalises base spans to their kind and removes disclosing terms.
+a span too, in whatever text it stands; :func:`sanitise` generalises base spans to their kind and
+removes disclosing terms.
 
 All of it is DataFrame functions. Spark's patterns come from Java, whose group repetition recurses
 and whose retries at every start are quadratic on long runs; so separators inside a run are first
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, nothing
+from .common import documents, materialise, nothing, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: At least so many distinct texts must hold the entity together with the term.
@@ -152,51 +153,78 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def disclosing(
-    docs: DataFrame, holders: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE
-) -> DataFrame:
-    """``(_key, _more)``: for texts with base spans, the terms that give one of their entities away.
+def _merged(spans: Column) -> Column:
+    """Sorted spans ``array<struct<s, k, e, m>>`` with those that overlap as one, of the kind of the first."""
+    cast = "array<struct<s:int,k:int,e:int>>"
+    plain = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["s"].alias("s"), last["k"].alias("k"), F.greatest(last["e"], x["e"]).alias("e"))
+        meets = (F.size(out) > 0) & (x["s"] < F.get(out, F.size(out) - 1)["e"])
+        return F.when(meets, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(plain, F.array().cast(cast), step)
+
+
+def _replaced(text: Column, spans: Column, by: Column) -> Column:
+    """``text`` with merged, sorted ``spans`` replaced by the entry of the array ``by`` for their kind. Each
+    span is cut where it stands in the text as it was."""
+    merged = _merged(spans)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda a, x: F.struct(
+        F.concat(a["out"], F.substr(text, a["at"] + 1, x["s"] - a["at"]), F.get(by, x["k"])).alias("out"), x["e"].alias("at")
+    )
+    return F.aggregate(merged, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+
+
+def disclosing(docs: DataFrame, holders: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
+    """``(_key, _more)``: for texts, whether they hold an entity or not, the terms that give one away.
 
     ``holders(_key, _base)`` has one row for each distinct text with base spans. Counts are of
     distinct texts, so that copies of one text are one witness. With N texts, an entity in n_e, a
     term in n_t and both in n_et of them, the term discloses log(N n_et / (n_e n_t)) of the
     entity's log(N / n_e).
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    every = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).where("_text <> ''")
+    none = every.select(F.lit("").alias("_key"), F.array().cast("array<string>").alias("_more")).limit(0)
     entities = F.array_distinct(F.transform("_base", lambda x: F.struct(x["k"].alias("k"), x["m"].alias("m"))))
     pairs = holders.select("_key", F.explode(entities).alias("entity"))
     frequent = materialise(pairs.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support))
+    most = frequent.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return none
     linked = materialise(pairs.join(frequent, "entity"))
     keys = materialise(linked.select("_key").distinct())
     texts = _holding(docs, text).join(holders, "_key").dropDuplicates(["_key"])
     # base spans are blanked, so that parts of an address are no terms
-    bare = F.aggregate(
-        F.reverse("_base"),
-        F.col("_text"),
-        lambda a, x: F.concat(F.substr(a, F.lit(1), x["s"]), F.lit(" "), F.substr(a, x["e"] + 1)),
-    )
+    bare = _replaced(F.col("_text"), F.col("_base"), F.array_repeat(F.lit(" "), len(KINDS)))
     held = materialise(texts.select("_key", _terms(bare).alias("terms")))
-    terms = materialise(held.join(keys, "_key", "left_semi").select("_key", F.explode("terms").alias("term")))
-    met = linked.join(terms, "_key").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"))
-    met = met.where(F.col("n_et") >= support)
-    every = docs.select(t.alias("_text")).where("_text <> ''")
-    n = 0 if nothing(frequent) else every.agg(F.count_distinct(F.xxhash64("_text"))).first()[0]
-    own = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    gain = lambda n_t: F.log(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * n_t))
-    # texts with base spans are some of all: a term that is too common among them is so everywhere
+    n = every.agg(F.count_distinct(F.xxhash64("_text"))).first()[0]
+    total = F.lit(float(n))
+    own = F.log(total / F.col("n_e"))
+    gain = lambda n_t: F.log(total * F.col("n_et") / (F.col("n_e") * n_t))
+    # texts with base spans are some of all: a term that is too common among them is so everywhere, and as
+    # n_et is at most n_e, one of more than N ** (1 - disclose) * n_e ** disclose texts gives nothing away
     some = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_some"))
-    both = met.join(some, "term").where((own > 0) & (gain(F.col("n_some")) >= F.lit(disclose) * own))
+    some = some.where((F.col("n_some") >= support) & (F.col("n_some") <= n ** (1 - disclose) * most**disclose * (1 + 1e-9)))
+    some = materialise(some)
+    terms = held.join(keys, "_key", "left_semi").select("_key", F.explode("terms").alias("term"))
+    terms = materialise(terms.join(small(some, BROADCAST_TERMS), "term"))
+    room = F.col("n_some") <= F.pow(total, F.lit(1 - disclose)) * F.pow(F.col("n_e"), F.lit(disclose)) * (1 + 1e-9)
+    met = linked.join(terms, "_key").where(room).groupBy("entity", "n_e", "term", "n_some").agg(F.count("*").alias("n_et"))
+    both = met.where((F.col("n_et") >= support) & (own > 0) & (gain(F.col("n_some")) >= F.lit(disclose) * own))
     both = materialise(both.drop("n_some"))
     wanted = materialise(both.select("term").distinct())
-    size = wanted.count()
-    spread = every.select(F.xxhash64("_text").alias("_d"), F.explode(_terms(F.col("_text"))).alias("term"))
-    spread = spread.join(F.broadcast(wanted) if size <= BROADCAST_TERMS else wanted, "term", "left_semi")
-    counts = spread.groupBy("term", "_d").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_t"))
-    if not size:
-        counts = wanted.select("term", F.lit(1).cast("long").alias("n_t"))
-    told = both.join(counts, "term").where(gain(F.col("n_t")) >= F.lit(disclose) * own).select("entity", "term")
-    found = linked.select("_key", "entity").join(materialise(told), "entity").join(terms, ["_key", "term"])
-    return found.groupBy("_key").agg(F.array_sort(F.collect_set("term")).alias("_more"))
+    if nothing(wanted):
+        return none
+    # where the terms stand, in all texts: counted, and kept for those that disclose
+    spread = every.select(F.md5(F.col("_text").cast("binary")).alias("_key"), F.explode(_terms(F.col("_text"))).alias("term"))
+    spread = materialise(spread.join(small(wanted, BROADCAST_TERMS), "term", "left_semi").groupBy("_key", "term").agg(F.lit(1).alias("one")))
+    counts = spread.groupBy("term").agg(F.count("*").alias("n_t"))
+    told = both.join(counts, "term").where(gain(F.col("n_t")) >= F.lit(disclose) * own).select("term").distinct()
+    found = spread.join(small(materialise(told), BROADCAST_TERMS), "term", "left_semi")
+    return found.groupBy("_key").agg(F.array_sort(F.collect_list("term")).alias("_more"))
 
 
 def _holding(docs: DataFrame, text: str) -> DataFrame:
@@ -211,39 +239,36 @@ def _holding(docs: DataFrame, text: str) -> DataFrame:
 def find(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
     """Add ``base`` and ``spans``, both ``array<struct<s, k, e, m>>`` in order, to every row.
 
-    Null and empty texts have no spans. Repeated rows get equal results. Columns named ``base`` or
-    ``spans`` are replaced, other columns pass through (but for ``_base``, ``_key``, ``_more``).
+    Null and empty texts have no spans. Repeated rows get equal results. Terms lie outside base spans,
+    base spans of different kinds may overlap. Columns named ``base`` or ``spans`` are replaced, other
+    columns pass through, whatever their names. No rows in, no rows out.
     """
-    docs = docs.drop("base", "spans", "_base", "_key", "_more", "_at")
-    holders = base_spans(_holding(docs, text).select("_text"), "_text").where("_key is not null")
+    kept = [c for c in docs.columns if c not in ("base", "spans")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    plain = docs.select(F.col(f"`{text}`").alias("text"))
+    holders = base_spans(_holding(plain, "text").select("_text"), "_text").where("_key is not null")
     holders = materialise(holders.select("_key", "_base").dropDuplicates(["_key"]))
-    flags = materialise(disclosing(docs, holders, text, support, disclose))
-    flagged = _holding(docs, text).join(flags, "_key").dropDuplicates(["_key"]).join(holders, "_key")
+    flags = materialise(disclosing(plain, holders, "text", support, disclose))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    here = docs.select(row, F.col(f"`{text}`").alias("text")).withColumn("_md5", F.md5(t.cast("binary")))
+    joined = here.join(small(flags, BROADCAST_TERMS), F.col("_md5") == F.col("_key"), "left").drop("_key")
+    found = base_spans(joined, "text")
     some = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_more", "|"), F.lit(r")(?!\p{L})"))
-    more = F.transform(
-        _placed(F.col("_text"), some),
+    terms = F.transform(
+        _placed(t, some),
         lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("k"), x["e"].alias("e"), x["m"].alias("m")),
     )
-    outside = F.filter(more, lambda x: ~F.exists("_base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    more = materialise(flagged.select("_key", outside.alias("_more")))
-    # texts without base spans have no key and match nothing: dealt out instead of meeting in one task
-    here = base_spans(docs, text).withColumn(
-        "_at", F.coalesce(F.col("_key"), F.concat(F.lit("~"), F.pmod(F.xxhash64(*docs.columns), F.lit(4096)).cast("string")))
-    )
-    joined = here.join(more.withColumnRenamed("_key", "_at"), "_at", "left")
-    spans = F.when(F.col("_more").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_more")))
-    return joined.withColumn("base", F.col("_base")).withColumn("spans", spans).drop("_base", "_key", "_more", "_at")
+    outside = F.filter(terms, lambda x: ~F.exists("_base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
+    spans = F.when(F.col("_more").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", outside)))
+    found = found.select("row", F.struct(F.col("_base").alias("base"), spans.alias("spans")).alias("found"))
+    return found.select(*[F.col(f"row.`{c}`") for c in kept], "found.base", "found.spans")
 
 
 def sanitise(found: DataFrame, text: str = "text") -> DataFrame:
-    """Replace ``text`` of :func:`find`'s rows: base spans by ``<kind>``, disclosing terms removed."""
+    """Replace ``text`` of :func:`find`'s rows: base spans by ``<kind>``, disclosing terms removed. Spans
+    that overlap are replaced as one, by the kind of the first. A null text stays null."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS], F.lit(""))
-    clean = F.aggregate(
-        F.reverse("spans"),
-        F.col(text),
-        lambda a, x: F.concat(F.substr(a, F.lit(1), x["s"]), F.get(names, x["k"]), F.substr(a, x["e"] + 1)),
-    )
-    return found.withColumn(text, clean)
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), _replaced(F.col(text), F.col("spans"), names)))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
