@@ -1,9 +1,9 @@
 """Trading one market over bars: position algebra, execution, commission, stops, rollouts.
 
-The rules of one step are written once, over an array module: as DataFrame expressions they price
-given positions bar by bar inside codegen; as numpy they advance all episodes of a task together,
-since a rollout is a recursion over bars. Episodes are independent and spread over tasks; bars of
-one instrument are sent to the tasks once.
+The rules of one step are written once, over few operations that columns and arrays both have: as
+DataFrame expressions they price given positions bar by bar inside codegen; as numpy they advance all
+episodes of a task together, since a rollout is a recursion over bars. Episodes are independent: an
+instrument's are dealt over tasks, each of which gets its bars.
 
 What the steps do where the bars leave a choice: an invalid bar ignores action and stop; a stop above
 the open of a long fills at the open; no quantity costs no commission; a policy sees bar t and is
@@ -34,56 +34,83 @@ class Costs:
     contract_multiplier: float = 1.0
 
 
-# ---------------------------------------------------------------- as expressions
+# ---------------------------------------------------------------- one bar, over columns or arrays
 
 
-def positions(position: Column, action: Column) -> dict[str, Column]:
-    """``new, closed, opened, kept`` of taking ``action`` in ``position``."""
-    p, a, zero = position, action, F.lit(0)
+class _Columns:
+    """What a step needs, as DataFrame expressions; a missing stop is null, which extremes skip."""
+
+    sign, size, most, least = staticmethod(F.signum), staticmethod(F.abs), staticmethod(F.greatest), staticmethod(F.least)
+    value = staticmethod(F.lit)
+    pick = staticmethod(lambda test, yes, no: F.when(test, yes).otherwise(no))
+    sure = staticmethod(lambda test: F.coalesce(test, F.lit(False)))
+    missing = None
+
+
+class _Arrays:
+    """The same with numpy; a missing stop is NaN."""
+
+    sign, size, most, least, pick = np.sign, np.abs, np.fmax, np.fmin, np.where
+    value = sure = staticmethod(lambda x: x)
+    missing = np.nan
+
+
+def _positions(x, p, a) -> dict:
+    """What stays of a position is what old and new have in common; the rest of the old one is closed, the
+    rest of the new one opened."""
     new = p + a
-    closing = (F.signum(a) != F.signum(p)) & (a != 0) & (p != 0)
-    switch = closing & (F.abs(a) > F.abs(p))
-    opening = ((a > 0) & (p >= 0)) | ((a < 0) & (p <= 0)) | switch
-    closed = F.when(switch, p).when(closing, p - new).otherwise(zero)
-    opened = F.when(switch, new).when(opening, new - p).otherwise(zero)
-    kept = F.when(switch, zero).otherwise(F.least(F.abs(p), F.abs(new)) * F.signum(p))
-    return {"new": new, "closed": closed, "opened": opened, "kept": kept}
+    kept = x.pick(x.sign(p) == x.sign(new), x.sign(p) * x.least(x.size(p), x.size(new)), x.value(0.0))
+    return {"new": new, "closed": p - kept, "opened": new - kept, "kept": kept}
 
 
-def commission(quantity: Column, price: Column, costs: Costs) -> Column:
-    """Per contract, at least the minimum, at most the cap; none without quantity."""
-    fee = F.greatest(quantity * costs.commission, F.lit(costs.min_commission))
+def _fee(x, quantity, price, costs: Costs):
+    fee = x.most(quantity * costs.commission, x.value(costs.min_commission))
     if costs.max_commission_pct > 0:
-        fee = F.least(fee, price * quantity * costs.max_commission_pct)
-    return F.when(quantity == 0, F.lit(0.0)).otherwise(fee)
+        fee = x.least(fee, price * quantity * costs.max_commission_pct)
+    return x.pick(quantity == 0, x.value(0.0), fee)
+
+
+def _step(x, position, action, stop, bar: dict, costs: Costs) -> dict:
+    a, s = x.pick(bar["valid"], action, x.value(0.0)), x.pick(bar["valid"], stop, x.value(x.missing))
+    q = _positions(x, position, a)
+    slide = x.most(bar["open"] * costs.slippage / costs.reference_price, x.value(costs.min_slippage)) * bar["multiplier"]
+    price = bar["open"] + slide * x.sign(a)
+    fee = _fee(x, x.size(a), price, costs) * bar["multiplier"]
+    side = x.sign(q["new"])
+    hit = x.sure(((side > 0) & (s > bar["low"])) | ((side < 0) & (bar["high"] > s)))
+    stopped = x.pick(hit, q["new"], x.value(0.0))
+    fill = x.pick(side >= 0, x.least(s, bar["open"]), x.most(s, bar["open"])) - slide * x.sign(stopped)
+    stop_fee = x.pick(hit, _fee(x, x.size(stopped), fill, costs) * bar["multiplier"], x.value(0.0))
+    last = x.pick(hit, fill, bar["close"])
+    gain = (price - bar["prev"]) * q["closed"] + (last - price) * q["opened"] + (last - bar["prev"]) * q["kept"]
+    cash = price * (q["closed"] - q["opened"]) + x.pick(hit, fill * stopped, x.value(0.0))
+    return {
+        "position": q["new"] - stopped, "execution": price,
+        "profit": gain * costs.contract_multiplier - fee - stop_fee, "cashflow": cash * costs.contract_multiplier - fee - stop_fee,
+    }
 
 
-def slip(open_: Column, multiplier: Column, costs: Costs) -> Column:
-    return F.greatest(open_ * costs.slippage / costs.reference_price, F.lit(costs.min_slippage)) * multiplier
+def positions(position: Column, action: Column) -> dict[str, Column]:
+    """``new, closed, opened, kept`` of taking ``action`` in ``position``."""
+    return _positions(_Columns, position, action)
+
+
+def commission(quantity: Column, price: Column, costs: Costs) -> Column:
+    """Per contract, at least the minimum, at most the cap; none without quantity."""
+    return _fee(_Columns, quantity, price, costs)
 
 
 def step(position: Column, action: Column, stop: Column, bar: dict[str, Column], costs: Costs) -> dict[str, Column]:
     """One bar: ``bar`` has open, high, low, close, prev (close before), multiplier, valid."""
-    a = F.when(bar["valid"], action).otherwise(F.lit(0)).cast("double")
-    s = F.when(bar["valid"], stop)
-    q = positions(position.cast("double"), a)
-    slide = slip(bar["open"], bar["multiplier"], costs)
-    price = bar["open"] + slide * F.signum(a)
-    fee = commission(F.abs(a), price, costs) * bar["multiplier"]
-    side = F.signum(q["new"])
-    hit = F.coalesce(F.when(side > 0, s > bar["low"]).when(side < 0, bar["high"] > s), F.lit(False))
-    stopped = F.when(hit, q["new"]).otherwise(F.lit(0.0))
-    fill = F.when(side >= 0, F.least(s, bar["open"])).otherwise(F.greatest(s, bar["open"])) - slide * F.signum(stopped)
-    stop_fee = F.when(hit, commission(F.abs(stopped), fill, costs) * bar["multiplier"]).otherwise(F.lit(0.0))
-    last = F.when(hit, fill).otherwise(bar["close"])
-    gain = (price - bar["prev"]) * q["closed"] + (last - price) * q["opened"] + (last - bar["prev"]) * q["kept"]
-    cash = price * (q["closed"] - q["opened"]) + F.when(hit, fill * stopped).otherwise(F.lit(0.0))
-    return {
-        "position": q["new"] - stopped,
-        "execution": price,
-        "profit": gain * costs.contract_multiplier - fee - stop_fee,
-        "cashflow": cash * costs.contract_multiplier - fee - stop_fee,
-    }
+    return _step(_Columns, position.cast("double"), action.cast("double"), stop.cast("double"), bar, costs)
+
+
+def advance(position: np.ndarray, action: np.ndarray, stop: np.ndarray, at: np.ndarray, bars: Bars, c: Costs) -> dict[str, np.ndarray]:
+    """:func:`step` for many episodes at flat bar numbers ``at``; a missing stop is NaN."""
+    bar = {k: getattr(bars, k)[at] for k in ("open", "high", "low", "close", "multiplier", "valid")}
+    bar["prev"] = np.where(at > 0, bars.close[np.maximum(at - 1, 0)], bar["open"])
+    with np.errstate(invalid="ignore"):
+        return _step(_Arrays, position, action, stop, bar, c)
 
 
 def first_hit(bars: DataFrame, keys: list[str], day: str, order: str, stop: str, side: int = 1) -> DataFrame:
@@ -108,47 +135,7 @@ def first_hit(bars: DataFrame, keys: list[str], day: str, order: str, stop: str,
     )
 
 
-# ---------------------------------------------------------------- as numpy, all episodes at once
-
-
-def _commission(q: np.ndarray, price: np.ndarray, c: Costs) -> np.ndarray:
-    fee = np.maximum(q * c.commission, c.min_commission)
-    if c.max_commission_pct > 0:
-        fee = np.minimum(fee, price * q * c.max_commission_pct)
-    return np.where(q == 0, 0.0, fee)
-
-
-def advance(position: np.ndarray, action: np.ndarray, stop: np.ndarray, at: np.ndarray, bars: Bars, c: Costs) -> dict[str, np.ndarray]:
-    """:func:`step` for many episodes at flat bar numbers ``at``; a missing stop is NaN."""
-    valid = bars.valid[at]
-    a = np.where(valid, action, 0.0)
-    s = np.where(valid, stop, np.nan)
-    o, h, l, cl, m = bars.open[at], bars.high[at], bars.low[at], bars.close[at], bars.multiplier[at]  # noqa: E741
-    prev = np.where(at > 0, bars.close[np.maximum(at - 1, 0)], o)
-    p = position
-    new = p + a
-    closing = (np.sign(a) != np.sign(p)) & (a != 0) & (p != 0)
-    switch = closing & (np.abs(a) > np.abs(p))
-    opening = ((a > 0) & (p >= 0)) | ((a < 0) & (p <= 0)) | switch
-    closed = np.where(switch, p, np.where(closing, p - new, 0.0))
-    opened = np.where(switch, new, np.where(opening, new - p, 0.0))
-    kept = np.where(switch, 0.0, np.minimum(np.abs(p), np.abs(new)) * np.sign(p))
-    slide = np.maximum(o * c.slippage / c.reference_price, c.min_slippage) * m
-    price = o + slide * np.sign(a)
-    fee = _commission(np.abs(a), price, c) * m
-    side = np.sign(new)
-    with np.errstate(invalid="ignore"):
-        hit = ((side > 0) & (s > l)) | ((side < 0) & (h > s))
-    stopped = np.where(hit, new, 0.0)
-    fill = np.where(side >= 0, np.fmin(s, o), np.fmax(s, o)) - slide * np.sign(stopped)
-    stop_fee = np.where(hit, _commission(np.abs(stopped), fill, c) * m, 0.0)
-    last = np.where(hit, fill, cl)
-    gain = (price - prev) * closed + (last - price) * opened + (last - prev) * kept
-    cash = price * (closed - opened) + np.where(hit, fill * stopped, 0.0)
-    return {
-        "position": new - stopped, "execution": price,
-        "profit": gain * c.contract_multiplier - fee - stop_fee, "cashflow": cash * c.contract_multiplier - fee - stop_fee,
-    }
+# ---------------------------------------------------------------- episodes, all of a task at once
 
 
 def run_episodes(start: np.ndarray, bars: Bars, policy: TradingPolicy, costs: Costs, max_steps: int | None = None) -> pd.DataFrame:
@@ -193,25 +180,35 @@ def run_episodes(start: np.ndarray, bars: Bars, policy: TradingPolicy, costs: Co
     return pd.DataFrame({k: state[k] for k in ("profit", "profit_percent", "steps", "done_at", "position")})
 
 
-def rollout(episodes: DataFrame, bars: DataFrame, policy: TradingPolicy, costs: Costs, max_steps: int | None = None, partitions: int | None = None) -> DataFrame:
-    """``(episode, profit, profit_percent, steps, done_date, done_time)``. ``episodes(episode, date_idx,
-    time_idx)``; ``bars`` are the dense bars of one instrument with ``date_idx, time_idx``.
+def rollout(
+    episodes: DataFrame, bars: DataFrame, policy: TradingPolicy, costs: Costs, keys: list[str], max_steps: int | None = None, each: int = 100_000
+) -> DataFrame:
+    """``(*keys, episode, profit, profit_percent, steps, done_date, done_time)``. ``keys`` name an instrument;
+    ``episodes(*keys, episode, date_idx, time_idx)``; ``bars`` are dense bars with ``date_idx, time_idx``.
 
-    One instrument's bars are a small table against its episodes (a 15-year minute series is 60 MB)
-    and go out as one broadcast of arrays; episodes are dealt over tasks.
+    A task takes one instrument's bars (a 15-year minute series is 60 MB) and at most about ``each`` of its
+    episodes: those of an instrument are dealt into parts, to each of which its bars go.
     """
-    steps = int(bars.agg(F.max("time_idx")).first()[0]) + 1
-    held = episodes.sparkSession.sparkContext.broadcast(Bars.of(bars.orderBy("date_idx", "time_idx").toPandas(), steps))
-
-    def run(parts):
-        for rows in parts:
-            start = (rows["date_idx"] * steps + rows["time_idx"]).to_numpy()
-            out = run_episodes(start, held.value, policy, costs, max_steps)
-            done = out["done_at"].to_numpy()
-            yield pd.DataFrame({
-                "episode": rows["episode"].to_numpy(), "profit": out["profit"], "profit_percent": out["profit_percent"], "steps": out["steps"],
-                "done_date": pd.Series(np.where(done < 0, None, done // steps), dtype="Int64"), "done_time": pd.Series(np.where(done < 0, None, done % steps), dtype="Int64"),
-            })
-
-    dealt = episodes.repartition(partitions, "episode") if partitions else episodes.repartition("episode")
-    return dealt.mapInPandas(run, "episode long, profit double, profit_percent double, steps long, done_date long, done_time long")
+    steps = int(bars.agg(F.max("time_idx")).first()[0] or 0) + 1
+    parts = episodes.groupBy(*keys).agg(F.ceil(F.count("*") / each).cast("int").alias("_parts"))
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    parts = parts.toDF(*[f"_k{i}" for i in range(len(keys))], "_parts")
+    drop = [f"_k{i}" for i in range(len(keys))]
+    dealt = episodes.join(parts, same).withColumn("_part", F.pmod(F.xxhash64("episode"), F.col("_parts"))).drop(*drop, "_parts")
+    sent = bars.join(parts, same).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1))).drop(*drop, "_parts")
+    # both may come from one table: columns of their own
+    sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])
+
+    def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["date_idx", "time_idx"], kind="stable")
+        start = (rows["date_idx"] * steps + rows["time_idx"]).to_numpy()
+        out = run_episodes(start, Bars.of(own, steps), policy, costs, max_steps)
+        done = out["done_at"].to_numpy()
+        return pd.DataFrame({k: rows[k].to_numpy() for k in keys} | {
+            "episode": rows["episode"].to_numpy(), "profit": out["profit"], "profit_percent": out["profit_percent"], "steps": out["steps"],
+            "done_date": pd.Series(np.where(done < 0, None, done // steps), dtype="Int64"), "done_time": pd.Series(np.where(done < 0, None, done % steps), dtype="Int64"),
+        })
+
+    fields = ", ".join(f"`{k}` {episodes.schema[k].dataType.simpleString()}" for k in keys)
+    made = f"{fields}, episode long, profit double, profit_percent double, steps long, done_date long, done_time long"
+    return dealt.groupBy(*keys, "_part").cogroup(sent.groupBy(*keys, "_part")).applyInPandas(run, made)

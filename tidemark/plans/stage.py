@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without one, a local session makes a temporary folder; on a
+    cluster, whose machines don't share such a folder, that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the folder of spark.checkpoint.dir; a temporary one where unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """``df.checkpoint()`` into the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import bars, planner, policies, simulate
 from ..sources import html
 from ..streaming import ticks as stream
+from .stage import shared
 from .views import DENSE30, STEPS, TICK, dense30, table, ticks
 
 QUERIES: dict = {}
@@ -92,12 +91,8 @@ def _episodes(spark: SparkSession, d: str, maintain: policies.Policy) -> DataFra
     b = bars.bar_ids(dense30(spark, d), ["symbol"], "trade_date", "k")
     b = b.select("symbol", "date_idx", "time_idx", "open", "high", "low", "close", "volume")
     policy = policies.TradingPolicy(policies.OpenOnce(1), policies.ArtrStop(1.5), maintain, policies.SingleTrade())
-    out = []
-    for symbol in [r.symbol for r in b.select("symbol").distinct().orderBy("symbol").collect()]:
-        own = b.where(F.col("symbol").eqNullSafe(symbol)).drop("symbol")
-        episodes = own.where(f"time_idx < {STEPS - 1}").select((F.col("date_idx") * STEPS + F.col("time_idx")).cast("long").alias("episode"), "date_idx", "time_idx")
-        out.append(simulate.rollout(episodes, own, policy, COSTS, max_steps=96).withColumn("symbol", F.lit(symbol)))
-    x = functools.reduce(DataFrame.union, out)
+    episodes = b.where(f"time_idx < {STEPS - 1}").select("symbol", (F.col("date_idx") * STEPS + F.col("time_idx")).cast("long").alias("episode"), "date_idx", "time_idx")
+    x = simulate.rollout(episodes, b, policy, COSTS, ["symbol"], max_steps=96)
     return x.withColumns({n: F.round(n, 6) for n in ("profit", "profit_percent")})
 
 
@@ -138,20 +133,19 @@ def html_parse(spark: SparkSession, d: str) -> DataFrame:
     return html.page_outline(table(spark, d, "pages"))
 
 
-@query(f"""WITH {TICK}, t AS (SELECT * FROM tick), last AS (SELECT max(date_trunc('day', ts)) AS m FROM tick)
-SELECT symbol, date_trunc('day', ts)::DATE AS day, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close,
-  CAST(sum(size) AS BIGINT) AS volume FROM t GROUP BY 1, 2""")
+@query(f"""WITH {TICK} SELECT symbol, CAST(date_trunc('second', ts) AS TIMESTAMP) AS start, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, seq) AS close, CAST(sum(size) AS BIGINT) AS volume FROM tick GROUP BY 1, 2""")
 def second_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Day windows of the tick stream. A last row far ahead, of a symbol of its own, closes all others."""
-    base = tempfile.mkdtemp(prefix="tidemark-") if spark.conf.get("spark.checkpoint.dir", None) is None else spark.conf.get("spark.checkpoint.dir")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """One-second windows of the tick stream, fed as several files. As in batches the last second stays
+    open until a later event closes it, a last row far ahead, of a symbol of its own, closes all others."""
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     t = ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    t.coalesce(1).write.parquet(f"{at}/in")
+    # files come in order of time; each is written by a task of its own
+    t.repartitionByRange(4, "ts").write.parquet(f"{at}/in")
     end = t.agg(F.lit("~").alias("symbol"), F.max("seq").alias("seq"), (F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit(0.0).alias("price"), F.lit(0).cast("long").alias("size"))
     end.write.mode("append").parquet(f"{at}/in")
-    source = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    made = stream.stream_bars(source, ["symbol"], 86_400, "0 seconds")
+    # the files of a trigger are one batch, in which nothing is late
+    made = stream.stream_bars(spark.readStream.schema(t.schema).parquet(f"{at}/in"), ["symbol"], 1, "1 day")
     run = made.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.read.schema(made.schema).parquet(f"{at}/out")
-    return out.select("symbol", F.to_date("start").alias("day"), "open", "high", "low", "close", "volume")
+    return spark.read.schema(made.schema).parquet(f"{at}/out")

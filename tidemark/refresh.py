@@ -9,7 +9,6 @@ from __future__ import annotations
 import importlib
 import os
 import re
-import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -230,7 +229,3 @@ class Refresher:
             if u != keep:
                 self.store.remove(u)
         self._made = []
-
-
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
