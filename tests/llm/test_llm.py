@@ -167,6 +167,17 @@ def test_near_vectors(spark):
     assert nearvec.dedup(vectors(spark, [])).count() == 0 and nearvec.dedup(vectors(spark, rows[-4:])).count() == 4
 
 
+def test_near_vectors_awkward(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (7, [0.0, 3.0]), (None, [1.0, 0.01]), (None, None), (8, [-1.0, 0.0])]
+    d = vectors(spark, [(*r, 0) for r in rows]).withColumns({c: F.lit("x") for c in ("id", "vec", "node", "links", "kept", "block")})
+    got = sorted(((r.vec_id is None, r.vec_id or 0), r.n_links, r.component_id, r.kept) for r in nearvec.dedup(d, block=2).collect())
+    # 5 is in two groups, by each of its vectors: rows, not keys, are compared
+    assert got == [
+        ((False, 5), 1, 5, True), ((False, 5), 3, 5, True), ((False, 6), 3, 5, False), ((False, 6), 3, 5, False), ((False, 7), 1, 5, False), ((False, 8), 0, 8, True),
+        ((True, 0), 0, None, True), ((True, 0), 3, 5, True),
+    ]
+
+
 # ---------------------------------------------------------------- 2: repeats
 
 

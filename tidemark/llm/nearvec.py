@@ -29,6 +29,8 @@ THRESHOLD = 0.9
 BLOCK = 6000
 FEW_BLOCKS = 64
 LARGEST = 200_000
+#: Bytes of a block's vectors in double precision; a task holds two blocks, each in three forms.
+BLOCK_BYTES = 32 << 20
 #: The first sum takes so many dimensions that on average the rest adds at most threshold - REST.
 REST = 0.4
 _TILE = 512
@@ -123,23 +125,30 @@ class _Forest:
         return made
 
 
+def _block(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, numbers of rows and vectors of one block, as arrays and not as objects."""
+    held = rows["vec"].to_numpy()
+    out = np.empty((len(rows), len(held[0]) if len(held) else 0))
+    for i, v in enumerate(held):
+        out[i] = v
+    return rows["node"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), out
+
+
 def _compare(rows: pd.DataFrame, lo: int, hi: int, axes: np.ndarray, steps: tuple[int, ...], threshold: float) -> pd.DataFrame:
     """Counts and forest edges of the pairs between block ``lo`` and block ``hi``."""
-    a, b = rows[rows["block"] == lo].reset_index(drop=True), rows[rows["block"] == hi].reset_index(drop=True)
     same = lo == hi
-    na = len(a)
-    both = a if same else pd.concat([a, b], ignore_index=True)
-    node, weight = both["node"].to_numpy(), both["n"].to_numpy(np.int64)
-    original = np.stack(both["vec"].to_numpy()) if len(both) else np.zeros((0, len(axes)))
-    if not len(both):
+    # the rows of the first block in front
+    first = rows["block"].to_numpy() == lo
+    node, weight, original = _block(rows.iloc[np.r_[np.flatnonzero(first), np.flatnonzero(~first)]])
+    na = len(node) if same else int(first.sum())
+    if not len(node):
         return pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
-    unit = _unit(original)
-    turned = _Ordered(unit @ axes, steps)
-    links = np.zeros(len(both), dtype=np.int64)
-    forest, edges = _Forest(len(both)), []
+    turned = _Ordered(_unit(original) @ axes, steps)
+    links = np.zeros(len(node), dtype=np.int64)
+    forest, edges = _Forest(len(node)), []
     base = 0 if same else na
     for s in range(0, na, _TILE):
-        for t in range(s if same else base, len(both), _TILE):
+        for t in range(s if same else base, len(node), _TILE):
             i, j = _close(turned, slice(s, min(s + _TILE, na)), turned, slice(t, t + _TILE), threshold)
             i, j = i + s, j + t
             if same:
@@ -176,7 +185,8 @@ def dedup(
     empty, zero, hold null or non-finite components, and vectors not of the commonest length link
     with nothing. Equal vectors are compared once and linked with each other. Rows with equal keys
     are rows of their own and share a component if their vectors do. Null keys stay null and name
-    no component. Other columns are ignored. No rows in, no rows out.
+    no component. Other columns are ignored, whatever their names. Different vectors are told apart by
+    64-bit hashes: with N of them two meet by chance with odds N * N / 2**65. No rows in, no rows out.
     """
     rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     base = usable(rows, "v")
@@ -197,7 +207,8 @@ def dedup(
     along = F.aggregate(
         F.zip_with("vec", F.array(*[F.lit(float(x)) for x in axes[:, 0]]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
     ) / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    blocks = max(-(-total // LARGEST), min(FEW_BLOCKS, -(-total // block)))
+    largest = max(1, min(LARGEST, BLOCK_BYTES // (8 * dim)))
+    blocks = max(-(-total // largest), min(FEW_BLOCKS, -(-total // block)))
     placed = classes.withColumn("x", along)
     ends = placed.approxQuantile("x", [i / blocks for i in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
     ends = sorted(set(ends))
