@@ -61,11 +61,21 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.parquet(path)
+    # workers hold whole Arrow batches: bounded in bytes, however long the texts are
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        (df.coalesce(parts) if parts else df).write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that Python workers are sent.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Rows up to which a written table is broadcast.
 BROADCAST_ROWS = 1_000_000
 

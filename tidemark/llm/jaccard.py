@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, components, documents, materialise, mix, nothing, slices
+from .common import WordHasher, components, documents, materialise, mix, nothing, slices, small
 
 SHINGLE = 3
 #: 100 * intersection >= PERCENT * union.
@@ -32,6 +32,10 @@ LIST_PART = 1024
 SHORT = 32
 #: Sets are asked for by broadcast up to so many, by a shuffle beyond.
 BROADCAST_NODES = 500_000
+#: Entries of one token that a task sorts: tokens met more often are dealt into parts of about this size.
+SORTED = 50_000
+#: Pairs are looked at in grids of so many rows and columns.
+_GRID = (64, 1024)
 _SKETCH = 8
 _WIDE = 64
 _U = np.uint64
@@ -105,6 +109,15 @@ def _rank(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.lexsort((tokens, count))
 
 
+def _parts(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many parts of about ``SORTED`` entries each token's list is dealt into: one, but for frequent tokens."""
+    names, counts = heavy
+    if not len(names) or not len(tokens):
+        return np.ones(len(tokens), np.int32)
+    at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+    return (1 + np.where(names[at] == tokens, counts[at], 0) // SORTED).astype(np.int32)
+
+
 def _sketch(tokens: np.ndarray, words: int = _SKETCH) -> np.ndarray:
     """Parities in ``words`` words (a power of two): two sets differ in at least as many tokens as
     their sketches in bits."""
@@ -114,54 +127,64 @@ def _sketch(tokens: np.ndarray, words: int = _SKETCH) -> np.ndarray:
 
 
 def _index(docs: DataFrame, text: str, size: int, percent: int, heavy) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: set size, two hashes of the set, sketch and prefix."""
+    """Per row of ``docs(doc_id, text)``: set size, two hashes of the set, sketch and prefix, and into
+    how many parts the entries of each prefix token are dealt."""
     held = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
         hasher = WordHasher()
-        for b in slices(batches):
-            n, ha, hb, sk, px = [], [], [], [], []
+        for b in slices(batches, 250):
+            n, ha, hb, sk, px, pp = [], [], [], [], [], []
             for s in shingle_sets(hasher, b.column(1).to_pylist(), size):
                 m = len(s)
                 n.append(m)
-                ha.append(int(mix(s * _M[2]).sum(dtype=_U).view(np.int64)) if m else 0)
+                ha.append(_name(s) if m else 0)
                 hb.append(int(mix(s ^ _M[2]).sum(dtype=_U).view(np.int64)) if m else 0)
                 sk.append(_sketch(s).tobytes() if m else b"")
                 keep = m - -(-percent * m // 100) + 1 if m else 0
-                px.append(s[_rank(s, held.value)[:keep]].view(np.int64) if m else np.zeros(0, np.int64))
+                first = s[_rank(s, held.value)[:keep]]
+                px.append(first.view(np.int64))
+                pp.append(_parts(first, held.value))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ha, pa.int64()), pa.array(hb, pa.int64()),
-                 pa.array(sk, pa.binary()), pa.array(px, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "ha", "hb", "sketch", "prefix"],
+                 pa.array(sk, pa.binary()), pa.array(px, pa.list_(pa.int64())), pa.array(pp, pa.list_(pa.int32()))],
+                names=["doc_id", "n", "ha", "hb", "sketch", "prefix", "parts"],
             )
 
     return docs.select("doc_id", F.col(text).cast("binary").alias("t")).mapInArrow(
-        run, "doc_id long, n long, ha long, hb long, sketch binary, prefix array<long>"
+        run, "doc_id long, n long, ha long, hb long, sketch binary, prefix array<long>, parts array<int>"
     )
 
 
 def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """``(node, tokens, wide)`` of every row with a set; ``wide`` is its sketch in 64 words."""
+    """``(doc_id, node, n, t, wide)`` of every row with a set: its size, the text it is made of and its sketch
+    in 64 words. Texts are shorter than sets of hashes, and compress."""
 
     def run(batches):
         hasher = WordHasher()
-        for b in slices(batches):
-            ha, sets, wide = [], [], []
-            for s in shingle_sets(hasher, b.column(0).to_pylist(), size):
+        for b in slices(batches, 250):
+            at, ha, n, wide = [], [], [], []
+            for i, s in enumerate(shingle_sets(hasher, b.column(1).to_pylist(), size)):
                 if len(s):
-                    ha.append(int(mix(s * _M[2]).sum(dtype=_U).view(np.int64)))
-                    sets.append(s.view(np.int64))
-                    wide.append(_sketch(s, _WIDE).view(np.int64))
+                    at.append(i)
+                    ha.append(_name(s))
+                    n.append(len(s))
+                    wide.append(_sketch(s, _WIDE).tobytes())
+            rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ha, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (sets, wide)]],
-                names=["node", "tokens", "wide"],
+                [b.column(0).take(rows), pa.array(ha, pa.int64()), pa.array(n, pa.int64()), b.column(1).take(rows), pa.array(wide, pa.binary())],
+                names=["doc_id", "node", "n", "t", "wide"],
             )
 
-    return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(
-        run, "node long, tokens array<long>, wide array<long>"
+    return docs.select("doc_id", F.col(text).cast("binary").alias("t")).mapInArrow(
+        run, "doc_id long, node long, n long, t binary, wide binary"
     )
 
 
+def _name(tokens: np.ndarray) -> int:
+    return int(mix(tokens * _M[2]).sum(dtype=_U).view(np.int64))
+
+
 def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple[np.ndarray, ...]:
     """Pairs (a, b, bits) of one sorted run of lists that may link: ``part`` is sorted by (list, n).
 
@@ -193,17 +216,17 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
     for size in np.unique(length[(length > 1) & (length <= SHORT)]):  # short lists of one length at once
         at = start[length == size]
         x, y = np.triu_indices(size, 1)
-        step = max(1, 60_000 // len(x))
+        step = max(1, 30_000 // len(x))
         for k in range(0, len(at), step):
             base = at[k : k + step, None]
             put(*test((base + x).ravel(), (base + y).ravel()))
     short = len(out)
     for s, e in zip(start[length > SHORT], stop[length > SHORT]):
-        for lo in range(s, e, 256):
-            hi = min(lo + 256, e)
+        for lo in range(s, e, _GRID[0]):
+            hi = min(lo + _GRID[0], e)
             end = s + np.searchsorted(n[s:e], 100 * n[hi - 1] // percent, side="right")
-            for to in range(lo, end, 4096):
-                last = min(to + 4096, end)
+            for to in range(lo, end, _GRID[1]):
+                last = min(to + _GRID[1], end)
                 need = -(-percent * (n[lo] + n[to]) // (100 + percent))
                 if min((n[lo:hi] - pos[lo:hi]).max(), (n[to:last] - pos[to:last]).max()) < need:
                     continue
@@ -224,7 +247,7 @@ def _candidates(part: dict[str, np.ndarray], percent: int, every: bool) -> tuple
 
 
 def _pairs(entries: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate ``(a, b, bits)`` of ``entries(list, cell, side, node, comp, n, pos, sketch)``."""
+    """Candidate ``(a, b, bits)`` of ``entries(token, cell, side, node, comp, n, pos, sketch)``."""
 
     def run(batches):
         kept: list[pa.Table] = []
@@ -243,7 +266,7 @@ def _pairs(entries: DataFrame, percent: int, every: bool) -> DataFrame:
         for b in batches:
             kept.append(pa.Table.from_batches([b]))
             rows += b.num_rows
-            if rows < 60_000:
+            if rows < 30_000:
                 continue
             table = pa.concat_tables(kept)  # all but the last list are whole
             t, c = table.column("token").to_numpy(), table.column("cell").to_numpy()
@@ -283,22 +306,43 @@ def _celled(entries: DataFrame) -> DataFrame:
     return dealt.select(*entries.columns, "_c.cell", "_c.side")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, ok)``: the exact test on whole sets."""
-    one, two = sets.select("node", "tokens").toDF("a", "ta"), sets.select("node", "tokens").toDF("b", "tb")
-    both = F.size(F.array_intersect("ta", "tb"))
-    ok = 100 * both >= percent * (F.size("ta") + F.size("tb") - both)
-    return pairs.join(one, "a").join(two, "b").select("a", "b", ok.alias("ok"))
+def _long(entries: DataFrame) -> DataFrame:
+    """The tokens whose lists gave but one partner an entry."""
+    return materialise(entries.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > SHORT).select("token"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(a, b)`` of ``pairs`` whose whole sets link."""
+
+    def run(batches):
+        hasher = WordHasher()
+        for b in slices(batches, 250):
+            both = (shingle_sets(hasher, b.column(c).to_pylist(), size) for c in ("ta", "tb"))
+            keep = []
+            for x, y in zip(*both):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = sets.select(F.col("node").alias("a"), F.col("t").alias("ta")), sets.select(F.col("node").alias("b"), F.col("t").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` those that may link by their wide sketches, with the bits they differ in."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("wide").alias(f"w{k}"), F.size("tokens").alias(f"n{k}"))
-    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    both = F.col("na") + F.col("nb")
-    need = F.ceil(both * percent / (100 + percent) - 1e-9)
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", bits)
-    return met.where(F.col("bits") <= both - 2 * need).select(*pairs.columns, "bits")
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("wide").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
+
+    def run(batches):
+        for b in batches:
+            a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), dtype=_U).reshape(-1, _WIDE) for x in ("wa", "wb"))
+            bits = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int64)
+            both = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            keep = bits <= both - 2 * -(-percent * both // (100 + percent))
+            found = pa.RecordBatch.from_arrays([*[b.column(x) for x in ("a", "b", "ra", "rb")], pa.array(bits)], names=["a", "b", "ra", "rb", "bits"])
+            yield found.filter(pa.array(keep))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.select("a", "b", "ra", "rb", "wa", "wb", "na", "nb").mapInArrow(run, "a long, b long, ra long, rb long, bits long")
 
 
 def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: DataFrame, size: int, percent: int):
@@ -314,14 +358,16 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
         nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         few = nodes.count() <= BROADCAST_NODES
         wanted = F.broadcast(nodes) if few else nodes
-        keys = index.join(wanted, index["ha"] == wanted["node"]).groupBy("ha").agg(F.min("doc_id").alias("doc_id"))
-        keys = materialise(keys.select("doc_id").distinct())
-        some = docs
-        if nothing(keys.where("doc_id is null")):
-            some = docs.join(F.broadcast(keys) if few else keys, "doc_id", "left_semi")
-        sets = _sets(some, "text", size).join(wanted, "node", "left_semi")
-        # one document a set was asked for; but for null keys and repeated rows each comes once
-        return materialise(sets.dropDuplicates(["node"]) if some is docs else sets)
+        # each is asked of one document by key, so that it comes once but for rows that are alike
+        rows = index.join(wanted, index["ha"] == wanted["node"]).groupBy("node", "doc_id").agg(F.count("*").alias("c"))
+        ask = rows.groupBy("node").agg(F.min("doc_id").alias("key"), F.min_by("c", "doc_id").alias("c"))
+        ask = materialise(ask)
+        sent = F.broadcast(ask) if few else ask
+        keys = ask.select(F.col("key").alias("k")).distinct()
+        some = docs.join(F.broadcast(keys) if few else keys, docs["doc_id"].eqNullSafe(F.col("k")), "left_semi")
+        sets = _sets(some, "text", size)
+        sets = sets.join(sent, (sets["node"] == sent["node"]) & sets["doc_id"].eqNullSafe(sent["key"])).select(sets["node"], "n", "t", "wide")
+        return materialise(sets if nothing(ask.where("c is null or c > 1")) else sets.dropDuplicates(["node"]))
 
     def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         ra, rb = groups.toDF("a", "ra"), groups.toDF("b", "rb")
@@ -330,8 +376,7 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
         return named.where("ra <> rb")
 
     def linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        ok = _linked(pairs.select("a", "b"), sets, percent).where("ok")
-        return materialise(ok.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return materialise(_linked(pairs.select("a", "b"), sets, size, percent).toDF("u", "v"))
 
     met = candidates(entries.withColumn("comp", F.col("node")), False)
     if nothing(met):
@@ -340,7 +385,7 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
     first = materialise(nearest.select("x.a", "b"))
     links = linking(first, whole(first))
     groups = components(links)
-    named = entries.where(F.col("c") > SHORT).join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    named = entries.join(_long(entries), "token", "left_semi").join(groups, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     named = materialise(named)
     lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     again = materialise(named.join(materialise(lists.where("lo < hi").select("token")), "token"))
@@ -362,14 +407,74 @@ def _groups(docs: DataFrame, index: DataFrame, entries: DataFrame, sketches: Dat
     return components(links.union(linking(rest, sets)))
 
 
-def _shared(rows: DataFrame, percent: int) -> DataFrame:
-    """``(token, c)``: lists of at least two; those of two or three whose sizes are too unlike go at once."""
-    size = F.col("n").cast("long")
-    lists = rows.groupBy("token").agg(F.count("*").alias("c"), F.sum(size).alias("s"), F.min(size).alias("lo"), F.max(size).alias("hi"))
-    lists = lists.withColumn("mid", F.col("s") - F.col("lo") - F.col("hi"))
-    fits = lambda x, y: 100 * F.col(x) >= percent * F.col(y)
-    unlike = ((F.col("c") == 2) & ~fits("lo", "hi")) | ((F.col("c") == 3) & ~fits("lo", "mid") & ~fits("mid", "hi"))
-    return lists.where((F.col("c") > 1) & ~unlike).select("token", "c")
+def _entries(classes: DataFrame, percent: int) -> DataFrame:
+    """``(token, node, n, pos)`` of all lists that may hold a link: all entries are sorted once, and
+    what has no neighbour of its token goes, as do lists of two or three of too unlike sizes.
+
+    Frequent tokens are dealt into parts, so that no task sorts a hot list; such parts pass as they
+    are. Sizes are read from neighbours in order of size; a task holds one batch and the end of a list.
+    """
+    prefix = F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x")
+    rows = classes.select("node", F.col("n").cast("int").alias("n"), prefix)
+    part = F.when(F.col("x.parts") > 1, F.pmod(F.xxhash64("node"), F.col("x.parts")).cast("int") + 1).otherwise(0)
+    rows = rows.select(F.col("x.prefix").alias("token"), part.alias("part"), "n", "node", "pos")
+
+    def run(batches):
+        left, long = None, False
+        for b in batches:
+            now = pa.Table.from_batches([b] if left is None else [left, b]).combine_chunks().to_batches()[0]
+            token, part = now.column("token").to_numpy(), now.column("part").to_numpy()
+            turn = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1
+            if len(turn):  # all but the last list are whole
+                yield _listed(now, _useful(now, int(turn[-1]), percent, int(turn[0]) if long else 0))
+                left, long = now.slice(int(turn[-1])), False
+            elif now.num_rows > 3:  # one list, and it goes on
+                yield _listed(now, np.ones(now.num_rows - 1, bool))
+                left, long = now.slice(now.num_rows - 1), True
+            else:
+                left = now
+        if left is not None and left.num_rows:
+            yield _listed(left, _useful(left, left.num_rows, percent, left.num_rows if long else 0))
+
+    sorted_ = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node")
+    return sorted_.mapInArrow(run, "token long, node long, n long, pos long")
+
+
+def _listed(rows: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+    """The first rows that ``keep`` has an answer for, where it is true."""
+    some = rows.slice(0, len(keep)).filter(pa.array(keep))
+    wide = [some.column(c).cast(pa.int64()) for c in ("token", "node", "n", "pos")]
+    return pa.RecordBatch.from_arrays(wide, names=["token", "node", "n", "pos"])
+
+
+def _useful(rows: pa.RecordBatch, end: int, percent: int, sure: int) -> np.ndarray:
+    """Which of the first ``end`` rows, whole lists sorted by size, have a neighbour that they may link
+    to; the first ``sure`` rows belong to a long list."""
+    token, part, n = (rows.column(c).to_numpy()[:end] for c in ("token", "part", "n"))
+    fits = (token[1:] == token[:-1]) & (part[1:] == part[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+    # in order of size the nearest sizes are neighbours; parts of a dealt list have neighbours elsewhere
+    keep = np.r_[False, fits] | np.r_[fits, False] | (part > 0)
+    keep[:sure] = True
+    return keep
+
+
+def _classes(index: DataFrame) -> DataFrame:
+    """``(node, n, low, sketch, prefix, parts)`` of each different set. Only narrow rows are grouped: the
+    sets that several rows have are sent to the index, and of their rows the one of least doc_id stays."""
+    having = index.where("n > 0")
+    rows = having.groupBy("ha", F.col("doc_id").alias("low")).agg(F.count("*").alias("c"))
+    # a null doc_id is no name, but a set may have no other
+    first = F.min(F.struct(F.col("low").isNull().alias("nul"), "low", "c"))
+    several = rows.groupBy("ha").agg(first.alias("f"), F.sum("c").alias("c")).where("c > 1")
+    several = materialise(several.select(F.col("ha").alias("h"), F.col("f.low").alias("low"), F.col("f.c").alias("same")))
+    told = small(several, BROADCAST_NODES)
+    met = having.join(told, having["ha"] == told["h"], "left")
+    kept = met.where(F.col("h").isNull() | F.col("doc_id").eqNullSafe(F.col("low")))
+    kept = kept.select(F.col("ha").alias("node"), "n", F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("low"), "sketch", "prefix", "parts")
+    if not nothing(several.where("same > 1")):
+        return materialise(kept.dropDuplicates(["node"]))
+    # sent to the index, it is no work to do again; with a shuffle, it is
+    return kept if told is not several else materialise(kept)
 
 
 def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -386,12 +491,8 @@ def join(docs: DataFrame, text: str = "text", size: int = SHINGLE, percent: int
     docs = docs.select("doc_id", F.col(text).alias("text"))
     heavy = _heavy(docs, "text", size)
     index = materialise(_index(docs, "text", size, percent, heavy))
-    one = index.where("n > 0").groupBy("ha", "n").agg(F.min("doc_id").alias("low"), F.first(F.struct("sketch", "prefix")).alias("x"))
-    classes = materialise(one.select(F.col("ha").alias("node"), "n", "low", "x.sketch", "x.prefix"))
-    rows = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = materialise(_shared(rows, percent))
-    entries = rows.join(shared, "token")
-    entries = materialise(entries.select("token", "node", "n", F.col("pos").cast("long").alias("pos"), "c"))
+    classes = _classes(index)
+    entries = materialise(_entries(classes, percent))
     groups = _groups(docs, index, entries, classes.select("node", "sketch"), size, percent)
     lows = classes.select("node", "low")
     if groups is not None:
