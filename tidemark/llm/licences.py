@@ -135,6 +135,8 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
     whole, telling, named = [], [], []
 
     def name(sentence: str, base: str) -> str:
+        # what says nothing by itself, an identifier or a number, is marked
+        base = base if any(len(w) > 1 for w in sentence.split()) else f"={base}"
         return ids.setdefault(sentence, f"{base}.{sum(v.startswith(f'{base}.') for v in ids.values()) + 1}")
 
     for licence, text in TEXTS.items():
@@ -147,7 +149,7 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
         named += [(licence, (name(_plain(p.format(n)), licence),)) for n in names for p in PHRASES if len(p) > 6 or "icen" in n]
     for x in SPDX:
         # a colon ends a sentence, so the identifier stands behind one that is its own
-        named.append((x, (name("spdx license identifier", "spdx"), name(_plain(x), f"id.{x}"))))
+        named.append((x, (name("spdx license identifier", "spdx"), name(_plain(x), f"={x}"))))
     whole = [w for w in whole if len(w[1]) > 1]
     rules = sorted(whole, key=lambda r: -len(r[1])) + sorted(telling, key=lambda r: -len(r[1])) + sorted(named, key=lambda r: -len(r[1]))
     return ids, list(dict.fromkeys(rules))
@@ -158,11 +160,11 @@ SENTENCES, RULES = _tables()
 
 def _triggers() -> list[str]:
     """Words of which every known sentence holds one, but for bare identifiers and numbers, which stand
-    behind one that does: the fewest found greedily."""
-    left, found = {s for s, i in SENTENCES.items() if not i.startswith("id.") and any(len(w) > 1 for w in s.split())}, []
+    behind one that does: the fewest found greedily among long words, which texts rarely hold by chance."""
+    left, found = {s for s, i in SENTENCES.items() if not i.startswith("=")}, []
     while left:
-        words = sorted({w for s in left for w in s.split() if len(w) > 1})
-        best = max(words, key=lambda w: (sum(w in s for s in left), len(w)))
+        words = {w for s in left for w in s.split() if len(w) > 5} or {w for s in left for w in s.split() if len(w) > 1}
+        best = "licen" if any("licen" in s for s in left) else max(sorted(words), key=lambda w: (sum(w in s for s in left), len(w)))
         found.append(best)
         left = {s for s in left if best not in s}
     return found
@@ -199,7 +201,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``sentence_ids`` (the sequence), ``licences`` (in order of the rules, joined by commas,
     each licence once) and ``n_rules`` (long, how many rules were found) to every row.
 
-    Null and empty texts, and texts without a known sentence, get empty strings and 0. Repeated rows
+    Null and empty texts, and texts without a known sentence (an identifier or number by itself is
+    none), get empty strings and 0. Repeated rows
     get equal results; the three added names replace columns of the same names, other columns pass
     through, whatever their names. No rows in, no rows out.
     """
@@ -210,7 +213,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for w in _triggers():
         maybe = maybe | F.contains(lower, F.lit(w))
     found = found.select("row", F.when(maybe, _sequence(F.col("t"))).otherwise(F.lit("")).alias("seq"))
-    found = found.select("row", F.when(F.contains("seq", F.lit("<")), F.col("seq")).otherwise(F.lit("")).alias("seq"))
+    found = found.select("row", F.when(F.col("seq").rlike("<[^=]"), F.col("seq")).otherwise(F.lit("")).alias("seq"))
     rules = F.array(*[F.struct(F.lit(n).alias("n"), F.lit("".join(f"<{i}>" for i in ids)).alias("p")) for n, ids in RULES])
     start = F.struct(F.col("seq").alias("s"), F.array().cast("array<string>").alias("f"))
     walk = F.aggregate(
@@ -246,11 +249,11 @@ line AS (SELECT doc_id, pn, sn, unnest(lines) AS l, generate_subscripts(lines, 1
 part AS (SELECT doc_id, pn, sn, ln, CASE WHEN regexp_full_match(l, '[0-9]+|[a-z]') THEN '' ELSE coalesce(known.id, '{_GAP}') END AS id FROM line LEFT JOIN hit USING (doc_id, pn, sn) LEFT JOIN known ON known.s = l
   WHERE hit.k IS NULL OR ln <= hit.k UNION ALL SELECT doc_id, pn, sn, k + 1, id FROM hit),
 seqs AS (SELECT doc_id, regexp_replace(string_agg(id, '' ORDER BY pn, sn, ln), '{_GAP}+', '{_GAP}', 'g') AS seq FROM part GROUP BY doc_id),
-walk(doc_id, n, s, f) AS (SELECT doc_id, 0, seq, CAST([] AS VARCHAR[]) FROM seqs WHERE contains(seq, '<')
+walk(doc_id, n, s, f) AS (SELECT doc_id, 0, seq, CAST([] AS VARCHAR[]) FROM seqs WHERE regexp_matches(seq, '<[^=]')
   UNION ALL SELECT doc_id, r.n, CASE WHEN contains(s, p) THEN replace(s, p, '{_GAP}') ELSE s END, CASE WHEN contains(s, p) THEN list_append(f, licence) ELSE f END
   FROM walk w JOIN rules r ON r.n = w.n + 1),
 ends AS (SELECT doc_id, f FROM walk WHERE n = {len(RULES)})
-SELECT doc_id, CASE WHEN contains(seq, '<') THEN seq ELSE '' END AS sentence_ids,
+SELECT doc_id, CASE WHEN regexp_matches(seq, '<[^=]') THEN seq ELSE '' END AS sentence_ids,
   coalesce(array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ','), '') AS licences, CAST(coalesce(len(f), 0) AS BIGINT) AS n_rules
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN seqs USING (doc_id) LEFT JOIN ends USING (doc_id)"""
 
