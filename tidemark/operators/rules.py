@@ -44,10 +44,12 @@ def one_a_date(df: DataFrame, date: str, value: str, seq: str) -> DataFrame:
 
 
 def align(filters: DataFrame, trades: DataFrame, date: str = "date") -> DataFrame:
-    """Filters of the trade dates; a trade date without filters is an error."""
+    """Filters of the trade dates; a trade date without filters is an error, which names the first of them."""
     missing = trades.select(date).join(filters.select(date), date, "left_anti")
-    bad = missing.agg(F.array_join(F.sort_array(F.collect_list(F.col(date).cast("string"))), ", ").alias("d"))
-    guard = bad.select(F.when(F.col("d") != "", F.raise_error(F.concat(F.lit("no filters on "), F.col("d")))).alias("_ok"))
+    bad = missing.agg(F.count("*").alias("n"), F.min(date).alias("d"))
+    text = F.concat(F.lit("no filters on "), F.col("d").cast("string"), F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" more"))
+    # one row by construction
+    guard = bad.select(F.when(F.col("n") > 0, F.raise_error(text)).alias("_ok"))
     return filters.join(trades.select(date).distinct(), date, "left_semi").join(F.broadcast(guard)).where("_ok is null").drop("_ok")
 
 
@@ -59,6 +61,19 @@ def computed_columns(trades: DataFrame, width: float, date: str = "date", risk:
     return out.withColumn("open_minutes", F.coalesce(F.col(start), F.lit(0)) if start else F.lit(0))
 
 
+WEEKDAYS = tuple(f"is_{d}" for d in ("monday", "tuesday", "wednesday", "thursday", "friday"))
+#: Granularities of the computed columns; flags can only be excluded, reward per risk only be asked for.
+GRAINS = {"reward_per_risk": 0.001, "premium": 1.0, "open_minutes": 5.0} | dict.fromkeys(WEEKDAYS, 1.0)
+COMPUTED_LEFT, COMPUTED_RIGHT = WEEKDAYS, ("reward_per_risk",)
+
+
+def with_computed(long: DataFrame, trades: DataFrame, width: float, date: str = "day", risk: str = "risk", start: str | None = None) -> DataFrame:
+    """Filters ``long(day, name, value)`` and the computed columns of the trades as further ones."""
+    names = ["reward_per_risk", "premium", *WEEKDAYS, "open_minutes"]
+    wide = computed_columns(trades, width, date, risk, start).select(date, *[F.col(n).cast("double").alias(n) for n in names])
+    return long.unionByName(wide.unpivot([date], names, "name", "value"))
+
+
 # ---------------------------------------------------------------- thresholds and splits
 
 
@@ -112,10 +127,18 @@ def _evenly(most: int, min_samples: int) -> Callable[[pd.DataFrame], pd.DataFram
     return pick
 
 
+#: Rows up to which a table of splits, folds or days is broadcast.
+FEW = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if len(df.limit(FEW + 1).select(F.lit(1)).take(FEW + 1)) <= FEW else df
+
+
 def members(splits: DataFrame, long: DataFrame) -> DataFrame:
-    """``(name, direction, threshold, day)``: the samples that each split keeps. Splits are few."""
+    """``(name, direction, threshold, day)``: the samples that each split keeps."""
     keeps = F.when(F.col("direction") == LEFT, F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
-    return long.join(F.broadcast(splits), "name").where(keeps).select("name", "direction", "threshold", "day")
+    return long.join(_few(splits), "name").where(keeps).select("name", "direction", "threshold", "day")
 
 
 def pack(membership: DataFrame, keys: Sequence[str], sample: str, samples: int) -> DataFrame:
@@ -163,13 +186,20 @@ def excluded(mask_a: Column, mask_b: Column, n_a: Column, n_b: Column, min_sampl
     return (n < min_samples) | (n == n_a) | (n == n_b)
 
 
+def tested(a: DataFrame, b: DataFrame, min_samples: int) -> DataFrame:
+    """``(a_id, b_id, excluded)`` of each pair with a_id below b_id, of ``(split_id, mask, n)`` tables."""
+    x, y = a.select("split_id", "mask", "n").toDF("a_id", "ma", "na"), b.select("split_id", "mask", "n").toDF("b_id", "mb", "nb")
+    pairs = x.join(_few(y), F.col("a_id") < F.col("b_id"))
+    return pairs.select("a_id", "b_id", excluded(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), min_samples).alias("excluded"))
+
+
 def children(a: DataFrame, b: DataFrame, min_samples: int) -> DataFrame:
     """``(a_id, b_id, mask, n, parents)`` of each unordered pair that is not excluded. ``b`` is the
     depth-one set, which is small; each pair is met once, from its smaller id where both sets hold it."""
     x = a.select(*[F.col(c).alias(f"a_{c}") for c in ("split_id", "mask", "n", "parents")])
     y = b.select(*[F.col(c).alias(f"b_{c}") for c in ("split_id", "mask", "n", "parents")])
     same = F.array_contains(F.flatten("a_parents"), F.col("b_split_id"))
-    pairs = x.join(F.broadcast(y), (F.col("a_split_id") < F.col("b_split_id")) & ~same)
+    pairs = x.join(_few(y), (F.col("a_split_id") < F.col("b_split_id")) & ~same)
     kept = pairs.where(~excluded(F.col("a_mask"), F.col("b_mask"), F.col("a_n"), F.col("b_n"), min_samples))
     mask = both(F.col("a_mask"), F.col("b_mask"))
     return kept.select(
@@ -252,22 +282,59 @@ def k_folds(samples: DataFrame, folds: int, repeats: int, seed: int = 0) -> Data
     return r.select("repeat", "i", (F.ntile(folds).over(by) - 1).alias("fold"))
 
 
-def evaluate(membership: DataFrame, returns: DataFrame, folds: DataFrame, least: float = 0.0) -> DataFrame:
+Score = Callable[[Column, Column, Column], Column]
+
+
+def mean_score(n: Column, total: Column, squares: Column) -> Column:
+    return F.try_divide(total, n)
+
+
+def sharpe_score(days: int) -> Score:
+    """The annualised Sharpe ratio over so many calendar days, as a score."""
+    return lambda n, total, squares: sharpe(n, total, squares, days)
+
+
+def _sums_up_to(rows: DataFrame, keys: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """``(*keys, bound, n, s, q)``: count, sum and sum of squares of ``rows(*keys, i, r)`` with i below each of
+    ``bounds(bound)``: rows are added up by i, then one running sum over them and the bounds."""
+    r = F.col("r")
+    data = rows.groupBy(*keys, "i").agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(r * r).alias("q"))
+    zero = F.lit(0.0)
+    asked = rows.select(*keys).distinct().crossJoin(F.broadcast(bounds)).select(*keys, (F.col("bound") - 0.5).alias("at"), F.lit(0).cast("long").alias("n"), zero.alias("s"), zero.alias("q"), "bound")
+    data = data.select(*keys, F.col("i").cast("double").alias("at"), "n", F.coalesce("s", zero).alias("s"), F.coalesce("q", zero).alias("q"), F.lit(None).cast("int").alias("bound"))
+    run = W.partitionBy(*keys).orderBy("at").rowsBetween(W.unboundedPreceding, 0) if keys else W.orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    summed = data.unionByName(asked.withColumn("bound", F.col("bound").cast("int"))).select(*keys, "bound", *[F.sum(c).over(run).alias(c) for c in ("n", "s", "q")])
+    return summed.where("bound is not null")
+
+
+def _by_fold(rows: DataFrame, keys: Sequence[str], folds: DataFrame, score: Score) -> DataFrame:
+    """``(*keys, repeat, fold, train, test)``: scores of the training and the test rows of each fold."""
+    ends = folds.select("repeat", "fold", F.explode(F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).cast("int").alias("bound")) for c in ("train_end", "test_start", "test_end")])).alias("e"))
+    ends = ends.select("repeat", "fold", "e.role", "e.bound")
+    up_to = _sums_up_to(rows, keys, ends.select("bound").distinct())
+    at = up_to.join(F.broadcast(ends), "bound")
+    pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    each = at.groupBy(*keys, "repeat", "fold").agg(*[pick(role, c).alias(f"{role}_{c}") for role in ("train_end", "test_start", "test_end") for c in ("n", "s", "q")])
+    train = score(*[F.col(f"train_end_{c}") for c in ("n", "s", "q")])
+    test = score(*[F.col(f"test_end_{c}") - F.col(f"test_start_{c}") for c in ("n", "s", "q")])
+    return each.select(*keys, "repeat", "fold", train.alias("train"), test.alias("test"))
+
+
+def evaluate(membership: DataFrame, returns: DataFrame, folds: DataFrame, least: float = 0.0, score: Score = mean_score) -> DataFrame:
     """``(name, direction, gain, std, drop, n, above)`` of each filter and side.
 
-    ``membership(split_id, name, direction, n_all, i)``, ``returns(i, r)``. In each fold the split
-    with the best training mean is tried on the test rows and held against all test rows. Ties go to
-    the smaller split_id.
+    ``membership(split_id, name, direction, n_all, i)``, ``returns(i, r)``, ``folds`` few. In each fold the
+    split with the best training score is tried on the test rows and held against all test rows; a
+    split without rows there scores 0. Ties, to ten digits, go to the smaller split_id. Scores come from
+    counts, sums and sums of squares, so that a fold costs look-ups in running sums and no pass over rows.
     """
-    rows = membership.join(returns, "i").join(F.broadcast(folds), (F.col("i") < F.col("train_end")) | F.col("i").between(F.col("test_start"), F.col("test_end") - 1))
-    is_train = F.col("i") < F.col("train_end")
-    keys = ["repeat", "fold", "name", "direction", "split_id", "n_all"]
-    s = rows.groupBy(*keys).agg(F.avg(F.when(is_train, F.col("r"))).alias("train"), F.avg(F.when(~is_train, F.col("r"))).alias("test"))
-    base = returns.join(F.broadcast(folds), F.col("i").between(F.col("test_start"), F.col("test_end") - 1)).groupBy("repeat", "fold").agg(F.avg("r").alias("base"))
-    best = W.partitionBy("repeat", "fold", "name", "direction").orderBy(F.col("train").desc_nulls_last(), "split_id")
+    keys = ["name", "direction", "split_id", "n_all"]
+    s = _by_fold(membership.join(returns, "i").select(*keys, "i", "r"), keys, folds, score)
+    base = _by_fold(returns.select(F.lit(0).alias("one"), "i", "r"), ["one"], folds, score).select("repeat", "fold", F.col("test").alias("base"))
+    best = W.partitionBy("repeat", "fold", "name", "direction").orderBy(F.round("train", 10).desc_nulls_last(), "split_id")
     won = s.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(F.broadcast(base), ["repeat", "fold"])
-    gain = F.coalesce("test", F.lit(0.0)) - F.col("base")
-    won = won.withColumn("_gain", gain).withColumn("_drop", F.col("train") - F.coalesce("test", F.lit(0.0)))
+    test = F.coalesce("test", F.lit(0.0))
+    won = won.withColumn("_gain", test - F.col("base")).withColumn("_drop", F.col("train") - test)
     return won.groupBy("name", "direction").agg(
         F.avg("_gain").alias("gain"),
         F.coalesce(F.stddev_samp("_gain"), F.lit(0.0)).alias("std"),
@@ -282,7 +349,12 @@ def evaluate(membership: DataFrame, returns: DataFrame, folds: DataFrame, least:
 
 @dataclass
 class SplitSearch:
-    """Rules up to ``depth`` filters from trades and filters, scored by mean return."""
+    """Rules up to ``depth`` filters from trades and filters, scored by ``score`` (mean return).
+
+    ``width`` adds the computed columns of a spread so wide as filters, with their granularities and
+    sides, which ``granularity``, ``left_only`` and ``right_only`` add to. ``folds`` is what
+    :func:`purged_folds` gives for as many repeats as are wanted.
+    """
 
     min_samples: int = 30
     depth: int = 2
@@ -291,6 +363,11 @@ class SplitSearch:
     granularity: dict[str, float] = field(default_factory=dict)
     folds: DataFrame | None = None
     least_gain: float = 0.0
+    score: Score = mean_score
+    width: float | None = None
+    left_only: Sequence[str] = ()
+    right_only: Sequence[str] = ()
+    start: str | None = None
 
     def run(self, trades: DataFrame, long: DataFrame) -> DataFrame:
         """``(split_id, depth, filters, parents, mask, n, score)``; trades(day, risk, profit)."""
@@ -299,19 +376,22 @@ class SplitSearch:
         # days are numbered once; a trade log is one row a day
         days = cut(trades.select("day", F.try_divide("profit", "risk").alias("r")).withColumn("i", F.row_number().over(W.orderBy("day")) - 1))
         samples = days.count()
+        left, right, grains = list(self.left_only), list(self.right_only), dict(self.granularity)
+        if self.width is not None:
+            long = with_computed(long, trades, self.width, start=self.start)
+            left, right, grains = left + list(COMPUTED_LEFT), right + list(COMPUTED_RIGHT), GRAINS | grains
         used = long.join(days.select("day"), "day", "left_semi")
-        t = thresholds(used, self.min_samples, self.granularity, most=self.most)
+        t = thresholds(used, self.min_samples, grains, most=self.most, left_only=left, right_only=right)
         t = cut(t.withColumn("split_id", F.row_number().over(W.orderBy("name", "direction", "threshold")) - 1))
-        held = members(t, used).join(F.broadcast(t), ["name", "direction", "threshold"]).join(days, "day")
+        held = members(t, used).join(_few(t), ["name", "direction", "threshold"]).join(days, "day")
         if self.folds is not None:
-            seen = evaluate(held.select("split_id", "name", "direction", F.col("n").alias("n_all"), "i"), days.select("i", "r"), self.folds, self.least_gain)
+            seen = evaluate(held.select("split_id", "name", "direction", F.col("n").alias("n_all"), "i"), days.select("i", "r"), self.folds, self.least_gain, self.score)
             good = seen.where(F.col("gain") >= self.least_gain).select("name", "direction")
             if good.take(1):
-                held = held.join(F.broadcast(good), ["name", "direction"], "left_semi")
+                held = held.join(_few(good), ["name", "direction"], "left_semi")
         label = F.array(F.struct("name", "direction", "threshold"))
         packed = pack(held, ["split_id"], "i", samples).join(t.select("split_id", label.alias("filters")), "split_id")
-        means = held.groupBy("split_id").agg(F.avg("r").alias("score"))
-        one = packed.join(means, "split_id").withColumn("parents", F.array(F.array("split_id")))
+        one = packed.join(self._sums(held.select("split_id", "r")), "split_id").withColumn("parents", F.array(F.array("split_id")))
         level = cut(self._best(merge_identical(one)).withColumn("depth", F.lit(1)))
         first, found = level, level
         for depth in range(2, self.depth + 1):
@@ -329,13 +409,26 @@ class SplitSearch:
     def _best(self, splits: DataFrame) -> DataFrame:
         return splits if self.keep is None else top(splits, self.keep)
 
+    def _sums(self, rows: DataFrame) -> DataFrame:
+        r = F.col("r")
+        return rows.groupBy("split_id").agg(self.score(F.count(r), F.sum(r), F.sum(r * r)).alias("score"))
+
     def _scored(self, splits: DataFrame, days: DataFrame) -> DataFrame:
-        hit = F.expr("shiftright(mask[cast(floor(i / 63) as int)], cast(i % 63 as int)) & 1") == 1
-        means = splits.select("split_id", "mask").join(F.broadcast(days.select("i", "r")), hit).groupBy("split_id").agg(F.avg("r").alias("score"))
+        # a mask's bits as rows, by word: the days they stand for are joined by number
+        word = splits.select("split_id", F.posexplode("mask").alias("w", "bits")).where("bits <> 0")
+        bit = word.select("split_id", F.explode(F.expr(f"filter(transform(sequence(0, {WORD_BITS - 1}), b -> if(shiftright(bits, b) & 1 = 1, w * {WORD_BITS} + b, null)), x -> x is not null)")).alias("i"))
+        means = self._sums(bit.join(days.select("i", "r"), "i").select("split_id", "r"))
         filters = F.array().cast("array<struct<name:string,direction:string,threshold:double>>")
         return splits.join(means, "split_id").select("mask", "split_id", filters.alias("filters"), "parents", "n", "score")
 
 
+def show(found: DataFrame, depth: int, rows: int = 20) -> str:
+    """The splits of a depth as a text table, best score first."""
+    best = found.where(F.col("depth") == depth).orderBy(F.desc_nulls_last("score"), "split_id").limit(rows)
+    lines = [f"depth {depth}"] + [f"{r['split_id']:>6}  n={r['n']:<6}  score={r['score'] if r['score'] is not None else float('nan'):.6f}" for r in best.select("split_id", "n", "score").collect()]
+    return "\n".join(lines)
+
+
 def describe(parents: list[list[int]], names: dict[int, list[tuple[str, str, float]]], most: int = 3) -> str:
     """A rule as text: alternatives of conjunctions, each in canonical order, equal sides merged."""
     terms = set()

@@ -212,3 +212,8 @@ def rollout(
     fields = ", ".join(f"`{k}` {episodes.schema[k].dataType.simpleString()}" for k in keys)
     made = f"{fields}, episode long, profit double, profit_percent double, steps long, done_date long, done_time long"
     return dealt.groupBy(*keys, "_part").cogroup(sent.groupBy(*keys, "_part")).applyInPandas(run, made)
+
+
+def best_episode(found: DataFrame, by: str = "profit_percent") -> DataFrame:
+    """The row of the best episode of a rollout; ties go to the smaller episode."""
+    return found.orderBy(F.desc_nulls_last(by), "episode").limit(1)

