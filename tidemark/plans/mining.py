@@ -275,9 +275,36 @@ def impurity_mad(spark: SparkSession, d: str) -> DataFrame:
     return tree.impurity(e, ["event_type"], "absolute_error").select("event_type", F.round("impurity", 4).alias("mad"), "median")
 
 
-@query()
+def _tree_sql(depth: int, least: float) -> str:
+    """The levels of a tree as chained relations: rows by node, cuts with their gains, the best one, the next rows."""
+    parts, base = [f"""{FILTERS}, {TRADES}, r0 AS (SELECT f.day AS id, f.name AS feature, f.value AS x, t.profit / t.risk AS y, 0 AS node FROM filters f JOIN trades t USING (day)),
+up0 AS (SELECT 0 AS node, CAST(NULL AS INTEGER) AS parent)"""], "0"
+    for k in range(depth + 1):
+        parts.append(f"stat{k} AS (SELECT node, count(*) AS n, avg(y) AS value FROM r{k} WHERE feature = (SELECT min(feature) FROM r0) GROUP BY 1)")
+        if k == depth:
+            parts.append(f"best{k} AS (SELECT node, '' AS feature, 0.0 AS threshold, 0.0 AS gain, 0 AS l FROM stat{k} WHERE false)")
+            break
+        parts.append(f"""v{k} AS (SELECT node, feature, x, count(*) AS c, sum(y) AS s1, sum(y * y) AS q1 FROM r{k} GROUP BY ALL),
+c{k} AS (SELECT node, feature, x, lead(x) OVER w AS nx, sum(c) OVER u AS nl, sum(s1) OVER u AS sl, sum(q1) OVER u AS ql, sum(c) OVER p AS n, sum(s1) OVER p AS s, sum(q1) OVER p AS q FROM v{k}
+  WINDOW w AS (PARTITION BY node, feature ORDER BY x), u AS (PARTITION BY node, feature ORDER BY x ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, feature)),
+g{k} AS (SELECT node, feature, (x + nx) / 2 AS threshold, nl, (q - s * s / n) - (ql - sl * sl / nl) - ((q - ql) - (s - sl) * (s - sl) / (n - nl)) AS gain FROM c{k} WHERE nx IS NOT NULL),
+top{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, nl, feature) AS place FROM g{k}) WHERE place = 1 AND gain > {least}),
+best{k} AS (SELECT node, feature, threshold, gain, {base} + 2 * CAST(row_number() OVER (ORDER BY node) AS INTEGER) - 1 AS l FROM top{k} JOIN stat{k} USING (node) WHERE n >= 2),
+side{k} AS (SELECT r.id, r.node, CASE WHEN r.x <= b.threshold THEN l ELSE l + 1 END AS next FROM r{k} r JOIN best{k} b ON r.node = b.node AND r.feature = b.feature),
+r{k + 1} AS (SELECT r.id, r.feature, r.x, r.y, next AS node FROM r{k} r JOIN side{k} USING (id, node)),
+up{k + 1} AS (SELECT l + i AS node, node AS parent FROM best{k}, range(2) AS t(i))""")
+        base = f"(SELECT coalesce(max(node), 0) FROM up{k + 1})"
+    rows = " UNION ALL ".join(
+        f"SELECT s.node, u.parent, b.feature, round(b.threshold, 6) AS threshold, round(s.value, 6) AS value, round(coalesce(b.gain, 0), 4) AS decrease, s.n, b.feature IS NULL AS is_leaf FROM stat{k} s JOIN up{k} u USING (node) LEFT JOIN best{k} b USING (node)"
+        for k in range(depth + 1)
+    )
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@query(_tree_sql(3, 1e-9))
 def tree_fit(spark: SparkSession, d: str) -> DataFrame:
-    return tree.fit(_samples(spark, d).drop("node"), max_depth=3, min_decrease=1e-9).table(spark)
+    grown = tree.fit(_samples(spark, d).drop("node"), max_depth=3, min_decrease=1e-9).table(spark)
+    return grown.withColumns({"threshold": F.round("threshold", 6), "value": F.round("value", 6), "decrease": F.round("decrease", 4)})
 
 
 @query()

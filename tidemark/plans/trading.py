@@ -128,7 +128,10 @@ def plan_mutex(spark: SparkSession, d: str) -> DataFrame:
     return planner.action_mutex(rel["pre"], rel["add"], rel["dele"], rel["mut"].toDF("p", "q"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '(<script[^>]*>).*?</script>', '\1', 'gs'), '(<style[^>]*>).*?</style>', '\1', 'gs') AS h FROM pages),
+t AS (SELECT page_id, h, regexp_extract(h, '<title[^>]*>([^<]*)', 1) AS title FROM c)
+SELECT page_id, len(regexp_extract_all(h, '<a\s[^>]*href')) AS n_links, len(regexp_extract_all(h, '<[A-Za-z]')) AS n_tags,
+  trim(regexp_replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM t""")
 def html_parse(spark: SparkSession, d: str) -> DataFrame:
     return html.page_outline(table(spark, d, "pages"))
 
