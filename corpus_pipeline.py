@@ -1,4 +1,11 @@
-"""From raw documents to packed training batches: five stages, each on all that its predecessor kept."""
+"""From raw documents to packed training batches: five stages, each on all that its predecessor kept.
+
+What the stages make of awkward rows: a document without a text, or whose text has no letters, has no
+language and goes in the first. Null and repeated doc_ids, repeated rows, ties and very long texts are
+kept as each operator's docstring says; rows of one doc_id that survive line dedup are one document
+for the Jaccard stage, rows without a doc_id are documents of their own. An empty table stays empty.
+Only the columns of ``documents`` are read, so others may have any names; they don't come out.
+"""
 
 from __future__ import annotations
 
@@ -90,10 +97,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again. A stage's table goes once
+    the next one is written; the last one goes with :func:`tidemark.llm.common.release`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        common.forget(spark, _OPEN)
+        if i:
+            common.forget(spark, [f"{at}/{i - 1}"])
+    common.keep(f"{at}/{len(STAGES) - 1}")
     return docs
