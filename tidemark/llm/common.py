@@ -90,6 +90,11 @@ def made() -> int:
     return len(_MADE)
 
 
+def keep(path: str) -> None:
+    """Have :func:`release` delete this table too."""
+    _MADE.append(path)
+
+
 def made_since(before: int) -> list[str]:
     return _MADE[before:]
 
