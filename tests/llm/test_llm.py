@@ -624,6 +624,29 @@ def test_pipeline(spark, sf):
     assert cp.run(spark, sf).count() == d.count()
 
 
+def test_pipeline_awkward(spark):
+    """Each stage on nulls, empty and long texts, repeated rows and keys, clashing columns; and on no rows."""
+    import corpus_pipeline as cp
+
+    long = " ".join(f"word{i % 900} und" for i in range(30_000))
+    rows = [*AWKWARD, (20, long, "de", "s"), (20, long, "de", "s"), (21, long + " end", "de", None), (None, "der text ohne nummer hier", "de", "s"), (22, "the plain text of one line", "en", "t"), (22, "another text of that number", "en", "t")]
+    d = docs(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    d = common.materialise(d.withColumns({c: F.lit("x") for c in ("row", "lid", "_t", "rn", "key", "node")}))
+    empty = d.limit(0).select(*cp.COLUMNS)
+    for i, (name, stage) in enumerate(cp.STAGES):
+        before = d.count()
+        d = common.materialise(stage(spark, d, "unused"))
+        last = i == len(cp.STAGES) - 1
+        assert last or d.columns == list(cp.COLUMNS), name
+        assert name == "mixing" or d.count() <= before, name
+        none = common.materialise(stage(spark, empty, "unused"))
+        assert none.count() == 0 and (last or none.columns == list(cp.COLUMNS)), name
+        if name == "language ID":
+            assert d.where("text is null or trim(text) = ''").count() == 0
+        if name == "n-gram Jaccard join":
+            assert sorted(r.doc_id for r in d.where("doc_id in (20, 21, 22)").select("doc_id").collect()) == [20, 22]
+
+
 def test_registered():
     import __spark_entry__ as entry
 
