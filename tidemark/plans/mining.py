@@ -292,10 +292,10 @@ top{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER B
 best{k} AS (SELECT node, feature, threshold, gain, {base} + 2 * CAST(row_number() OVER (ORDER BY node) AS INTEGER) - 1 AS l FROM top{k} JOIN stat{k} USING (node) WHERE n >= 2),
 side{k} AS (SELECT r.id, r.node, CASE WHEN r.x <= b.threshold THEN l ELSE l + 1 END AS next FROM r{k} r JOIN best{k} b ON r.node = b.node AND r.feature = b.feature),
 r{k + 1} AS (SELECT r.id, r.feature, r.x, r.y, next AS node FROM r{k} r JOIN side{k} USING (id, node)),
-up{k + 1} AS (SELECT l + i AS node, node AS parent FROM best{k}, range(2) AS t(i))""")
+up{k + 1} AS (SELECT CAST(l + i AS INTEGER) AS node, node AS parent FROM best{k}, range(2) AS t(i))""")
         base = f"(SELECT coalesce(max(node), 0) FROM up{k + 1})"
     rows = " UNION ALL ".join(
-        f"SELECT s.node, u.parent, b.feature, round(b.threshold, 6) AS threshold, round(s.value, 6) AS value, round(coalesce(b.gain, 0), 4) AS decrease, s.n, b.feature IS NULL AS is_leaf FROM stat{k} s JOIN up{k} u USING (node) LEFT JOIN best{k} b USING (node)"
+        f"SELECT s.node, coalesce(u.parent, -1) AS parent, b.feature, round(b.threshold, 6) AS threshold, round(s.value, 6) AS value, round(coalesce(b.gain, 0), 4) AS decrease, s.n, b.feature IS NULL AS is_leaf FROM stat{k} s JOIN up{k} u USING (node) LEFT JOIN best{k} b USING (node)"
         for k in range(depth + 1)
     )
     return f"WITH {', '.join(parts)} {rows}"
@@ -304,7 +304,7 @@ up{k + 1} AS (SELECT l + i AS node, node AS parent FROM best{k}, range(2) AS t(i
 @query(_tree_sql(3, 1e-9))
 def tree_fit(spark: SparkSession, d: str) -> DataFrame:
     grown = tree.fit(_samples(spark, d).drop("node"), max_depth=3, min_decrease=1e-9).table(spark)
-    return grown.withColumns({"threshold": F.round("threshold", 6), "value": F.round("value", 6), "decrease": F.round("decrease", 4)})
+    return grown.withColumns({"parent": F.coalesce("parent", F.lit(-1)), "threshold": F.round("threshold", 6), "value": F.round("value", 6), "decrease": F.round("decrease", 4)})
 
 
 @query()
