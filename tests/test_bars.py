@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars, futures, indicators
+from tidemark.plans import market
 from tidemark.streaming import ticks
 
 
@@ -60,6 +62,24 @@ def test_rtr_restarts_each_day(days):
     near([x.rtr for x in r], [0.5, 13 / 9 - 1, 0.4] * 2)
 
 
+@pytest.fixture
+def zeros(spark):
+    rows = [("s", 0, 0, 2.0, 0.0, 1.0, True), ("s", 0, 1, 3.0, 1.0, 2.0, True), ("s", 0, 2, 0.0, 0.0, 0.0, False), ("s", 1, 0, 0.0, 0.0, 0.0, True), ("s", 1, 1, 3.0, 2.0, 2.0, True)]
+    return spark.createDataFrame(rows, "s string, d int, t int, high double, low double, close double, valid boolean")
+
+
+def test_rtr_of_a_low_of_zero(zeros):
+    r = indicators.rtr(zeros, ["s"], "d", "t").orderBy("d", "t").collect()
+    assert [str(x.rtr) for x in r] == ["inf", "2.0", "inf", "nan", "inf"]
+
+
+def test_rounds_as_the_twins_do(spark):
+    x = [262.3133405, -262.3133405, 34.0421875 - 1, float("inf"), 1e305]
+    want = duckdb.sql(f"select {', '.join(f'round({v!r}::double, 6)' for v in x[:3])}").fetchall()[0]
+    got = market.rounded(spark.createDataFrame([(v,) for v in x], "x double"), "x").collect()
+    assert [r.x for r in got] == [*want, *x[3:]]
+
+
 @pytest.mark.parametrize("across", [False, True])
 def test_artr(days, across):
     r = [x.artr for x in indicators.artr(days, ["s"], "d", "t", 0.5, across).orderBy("d", "t").collect()]
