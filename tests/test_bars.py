@@ -73,6 +73,11 @@ def test_rtr_of_a_low_of_zero(zeros):
     assert [str(x.rtr) for x in r] == ["inf", "2.0", "inf", "nan", "inf"]
 
 
+def test_masked_rtr_of_a_low_of_zero(zeros):
+    m = indicators.masked(zeros, ["s", "d", "t"], "valid", lambda x: indicators.rtr(x, ["s"], "d", "t"), ["rtr"])
+    assert [str(x.rtr) for x in m.orderBy("d", "t").collect()] == ["inf", "2.0", "None", "nan", "inf"]
+
+
 def test_rounds_as_the_twins_do(spark):
     x = [262.3133405, -262.3133405, 34.0421875 - 1, float("inf"), 1e305]
     want = duckdb.sql(f"select {', '.join(f'round({v!r}::double, 6)' for v in x[:3])}").fetchall()[0]
