@@ -88,6 +88,12 @@ def test_ema_keeps_null_and_nan_apart(spark):
     assert [str(r.ema) for r in indicators.ema(d, ["s"], ["i"], "x", 0.5).orderBy("s", "i").collect()] == ["1.0", "None", "None", "nan", "nan"]
 
 
+def test_masked_artr_stays_infinite(zeros):
+    over = lambda x: indicators.artr(x, ["s"], "d", "t", 0.5, True)
+    m = indicators.masked(zeros.where("t < 2 or not valid"), ["s", "d", "t"], "valid", over, ["artr"])
+    assert [str(x.artr) for x in m.where("d = 0").orderBy("t").collect()] == ["inf", "inf", "None"]
+
+
 def test_rounds_as_the_twins_do(spark):
     x = [262.3133405, -262.3133405, 34.0421875 - 1, float("inf"), 1e305]
     want = duckdb.sql(f"select {', '.join(f'round({v!r}::double, 6)' for v in x[:3])}").fetchall()[0]
