@@ -94,6 +94,11 @@ def test_masked_artr_stays_infinite(zeros):
     assert [str(x.artr) for x in m.where("d = 0").orderBy("t").collect()] == ["inf", "inf", "None"]
 
 
+def test_artr_within_days_forgets_at_the_next(zeros):
+    r = indicators.artr(zeros.where("d = 0 or t = 1"), ["s"], "d", "t", 0.5, False).orderBy("d", "t").collect()
+    assert [str(x.artr) for x in r] == ["inf", "inf", "inf", "0.5"]
+
+
 def test_rounds_as_the_twins_do(spark):
     x = [262.3133405, -262.3133405, 34.0421875 - 1, float("inf"), 1e305]
     want = duckdb.sql(f"select {', '.join(f'round({v!r}::double, 6)' for v in x[:3])}").fetchall()[0]
