@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import rules, tree
+from tidemark.plans import mining
 
 
 def date(i):
@@ -106,6 +107,17 @@ def test_kelly_and_weights():
     assert w[0] == pytest.approx(1 / 3, abs=1e-3) and w.sum() <= 1 + 1e-9
 
 
+def test_kelly_without_a_loss(spark, tmp_path):
+    assert rules.kelly(np.array([0.5, 0.0])) == float("inf")
+    assert rules.kelly(np.array([1.0, np.nan, -1.0, 1.0])) == pytest.approx(1 / 3, abs=1e-9)
+    # Mondays only win, on Tuesdays two of three do
+    lines = [(1, 1.0, 100.0, 0.1, 0.0), (8, 1.0, 100.0, 0.2, 0.0), (2, 1.0, 100.0, 1.0, 0.0), (9, 1.0, 100.0, 0.0, 1.0), (16, 1.0, 100.0, 1.0, 0.0)]
+    made = spark.createDataFrame(lines, "day int, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    made.selectExpr("make_timestamp(2024, 1, day, 0, 0, 0) as l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.weekday: r.fraction for r in mining.kelly(spark, str(tmp_path)).collect()}
+    assert got == {0: 0.0, 1: pytest.approx(1 / 300, abs=1e-4)}
+
+
 @pytest.fixture
 def samples(spark):
     rng = np.random.default_rng(2)
