@@ -127,3 +127,35 @@ def test_awkward_lines(spark):
     assert len(got) == len(rows) and all(r.th == r.gone == r.row == r.lid == "x" for r in got)
     assert (by[1].n_removed, by[2].n_removed, by[3].n_removed, by[4].text, by[4].n_lines, by[5].n_lines, by[6].n_lines) == (0, 1, 0, None, 0, 1, 3)
     assert [r.n_removed for r in got if r.doc_id is None] == [1, 1] and by[7].text == "\r\n \t"
+
+
+def test_lines_alike_that_share_one_hot_key_only(spark):
+    """Of a block of 200 lines two are alike; each has another key besides, that only unlike lines share."""
+    rng = np.random.default_rng(21)
+    a = words(rng, 30)
+    b = [*a[:12], *words(rng, 1), *a[13:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate([a, b, *[words(rng, 30) for _ in range(202)]])]
+    d = table(spark, rows)
+    every = lines._lines(d, "text")
+    keys = {0: [1, 2], 1: [1, 3], 2: [2], 3: [3]}
+    m = spark.createDataFrame([(i, *(keys.get(i, [1]) + [None] * 4)[:5]) for i, _ in rows], "doc_id long, " + ", ".join(f"m{i} long" for i in range(5)))
+    firsts = every.select("lid", "len", "doc_id", "th", "no").join(m, "doc_id")
+    firsts = common.materialise(firsts.select("lid", "len", F.struct("doc_id", "th", "no").alias("p"), *[f"m{i}" for i in range(5)]))
+    got = lines.links(d, every, firsts, "text").join(firsts, F.col("node") == F.col("lid")).select("p.doc_id", "root").collect()
+    assert {r.doc_id for r in got} == {0, 1} and len({r.root for r in got}) == 1
+
+
+def test_signatures_are_a_bound(spark):
+    rng = np.random.default_rng(22)
+    rows = []
+    for i in range(300):
+        x = " ".join(words(rng, int(rng.integers(1, 30))))
+        y = list(x)
+        for _ in range(int(rng.integers(0, 6))):
+            at = int(rng.integers(0, len(y) + 1))
+            y[at : at + int(rng.integers(0, 2))] = ["é", "a", " ", ""][int(rng.integers(0, 4))]
+        rows.append((x, "".join(y), edits(x, "".join(y))))
+    d = spark.createDataFrame(rows, "x string, y string, n int")
+    d = d.select("n", F.struct(*lines._signature(F.col("x"))).alias("a"), F.struct(*lines._signature(F.col("y"))).alias("b"))
+    bits = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in lines.SIG), F.lit(0))
+    assert d.where(bits > 2 * F.col("n")).count() == 0

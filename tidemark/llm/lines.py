@@ -14,10 +14,10 @@ blocks that let 0.9 of them through would have 12 bits, and hold each 4096th lin
 least hash is shared with the odds of the Jaccard similarity instead, 0.57 or more where a tenth of
 the words are changed, and names a block by 64 bits.
 
-Only DataFrame functions. Blocks of more than ``BLOCK`` lines are not compared pair by pair: their lines
-are tried against leaders, another one in each of ``ROUNDS`` rounds, and the blocks are cut by a second
-shared hash, a third and so on. Where lines alike in all their least hashes, or frequent segments, are
-left in several groups after that, they are compared pair by pair, dealt into cells of bounded size.
+Only DataFrame functions. In blocks of more than ``BLOCK`` lines all lines are tried against leaders first,
+another one in each of ``ROUNDS`` rounds. Where that leaves several groups, every two lines of a block
+in different groups meet, in cells of bounded size: those that counts of letters, an exact bound, leave room for
+are compared. No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -35,13 +35,20 @@ BROADCAST_DOCS = 300_000
 MINIMA = 5
 SHORT = 49
 DENSE = 12
-#: Lines a block is compared in at once; leaders tried in blocks that stay larger; lines a side of a cell.
+#: Lines a block is compared in at once; leaders tried in larger blocks; lines on one side of a cell, and
+#: on the other times as many.
 BLOCK = 24
 ROUNDS = 3
 CELL = 512
+WIDE = 16
 #: Beyond so many characters, edits and similarity count whole words: in characters, the work grows
 #: with the square of the length.
 LONG = 250
+#: Letters that signatures count, each up to so many; four share a long.
+LETTERS = "abcdefghijklmnopqrstuvwxyz 1éäöü"
+COUNTED = 16
+SIG = [f"s{i}" for i in range(len(LETTERS) // 4)]
+ROW = ["lid", "len", "units", "whole", *SIG]
 
 
 def words_of(line: Column) -> Column:
@@ -98,11 +105,18 @@ def _segments(lines: DataFrame, similarity: float) -> DataFrame:
     return x.select(F.xxhash64("l", "i", F.substr("norm", F.col("at"), F.col("w"))).alias("key"), "lid", "len").distinct()
 
 
-def _signature(norm: Column) -> Column:
-    """Which of 64 classes the pairs of neighbouring characters of a short line fall in. An edit takes away
-    at most two pairs and brings two, so it changes at most four bits: an exact bound for any two lines."""
-    pairs = F.regexp_extract_all(norm, F.lit("(?s)(?=(..))."), F.lit(1))
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+def _signature(x: Column) -> list[Column]:
+    """How often each of ``LETTERS`` stands in ``x``, up to ``COUNTED``, as so many bits. An edit takes at most
+    one letter away and brings one, so it changes at most two bits: an exact bound for any two texts."""
+    left = lambda bits, by: F.call_function("shiftleft", bits, by)
+    longs = []
+    for at, name in zip(range(0, len(LETTERS), 4), SIG):
+        bits = F.lit(0).cast("long")
+        for i, c in enumerate(LETTERS[at : at + 4]):
+            n = F.least(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))), F.lit(COUNTED))
+            bits = bits.bitwiseOR(left(left(F.lit(1).cast("long"), n) - 1, F.lit(COUNTED * i)))
+        longs.append(bits.alias(name))
+    return longs
 
 
 def _shared(blocks: DataFrame) -> DataFrame:
@@ -111,27 +125,6 @@ def _shared(blocks: DataFrame) -> DataFrame:
     return materialise(blocks.join(small(several), "key"))
 
 
-def _cut(members: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Of ``members(key, lid, len, n)``: blocks of at most ``BLOCK`` lines, and the larger ones with a flag
-    ``last`` on lines that have no further key to cut them by."""
-    tables = [members.where(F.col("n") <= BLOCK).select("key", "lid", "len")]
-    own = members.groupBy("lid").agg(F.collect_set("key").alias("own"))
-    large = materialise(members.where(F.col("n") > BLOCK).join(own, "lid").select("key", F.array("key").alias("keys"), "lid", "len", "own"))
-    rest = []
-    while not nothing(large):
-        rest.append(large.select("key", "lid", "len", (F.size("own") == F.size("keys")).alias("last")))
-        grown = large.select("keys", "lid", "len", "own", F.explode(F.array_except("own", "keys")).alias("more"))
-        grown = grown.withColumn("keys", F.array_sort(F.concat("keys", F.array("more")))).withColumn("key", F.xxhash64("keys")).dropDuplicates(["key", "lid"])
-        met = materialise(grown.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-        grown = materialise(grown.join(small(met), "key"))
-        tables.append(grown.where(F.col("n") <= BLOCK).select("key", "lid", "len"))
-        large = materialise(grown.where(F.col("n") > BLOCK).select("key", "keys", "lid", "len", "own"))
-    left = members.select("key", "lid", "len", F.lit(True).alias("last")).limit(0)
-    for more in rest:
-        left = left.union(more)
-    return tables, left
-
-
 def _near(m: str, n: str, similarity: float) -> Column:
     """Whether lengths leave room for the similarity."""
     return F.abs(F.col(m) - F.col(n)) <= _room(m, n, similarity)
@@ -142,21 +135,35 @@ def _room(m: str, n: str, similarity: float) -> Column:
     return F.floor(F.greatest(m, n) * (1 - similarity) + 1e-9)
 
 
-def _like(x: str, y: str, m: str, n: str, similarity: float) -> Column:
-    """Whether lengths and signatures leave room for the similarity; a line without a signature may be like any."""
-    bits = F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    return _near(m, n, similarity) & F.coalesce(bits <= 4 * _room(m, n, similarity), F.lit(True))
+def _like(mine: str, other: str, similarity: float) -> Column:
+    """Whether lengths and signatures leave room for the similarity, of two lines in the same units; ``mine``
+    and ``other`` make a column's name on either side."""
+    x, y = (lambda c: mine.format(c)), (lambda c: other.format(c))
+    bits = sum((F.bit_count(F.col(x(c)).bitwiseXOR(F.col(y(c)))) for c in SIG), F.lit(0))
+    room = _near(x("len"), y("len"), similarity) & _near(x("units"), y("units"), similarity) & (bits <= 2 * _room(x("units"), y("units"), similarity))
+    return room & (~F.col(x("whole")) | (F.greatest(x("len"), y("len")) > LONG))
 
 
 def _pairs(blocks: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of blocks ``(key, lid, len, sig)`` of bounded size."""
-    other = blocks.select("key", F.col("lid").alias("b"), F.col("len").alias("len_b"), F.col("sig").alias("sig_b"))
-    met = blocks.join(other, "key").where("lid < b").where(_like("sig", "sig_b", "len", "len_b", similarity))
+    """``(a, b)`` of blocks ``(key, lid, len)`` of bounded size."""
+    other = blocks.select("key", F.col("lid").alias("b"), F.col("len").alias("len_b"))
+    met = blocks.join(other, "key").where("lid < b").where(_near("len", "len_b", similarity))
     return met.select(F.col("lid").alias("a"), "b").distinct()
 
 
+def _signed(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members(key, lid, len)`` with ``units``, ``whole`` and the signature: a block is split into what may be
+    compared in characters and what may be in whole words. Lines of about ``LONG`` characters are in both."""
+    chars = texts.where(F.col("len") <= LONG).select("lid", F.lit(False).alias("whole"), F.col("norm").alias("x"))
+    words = texts.where("kinds is not null").select("lid", F.lit(True).alias("whole"), F.col("kinds").alias("x"))
+    asked = chars.union(words).join(small(materialise(members.select("lid").distinct())), "lid", "left_semi")
+    signed = materialise(asked.select("lid", "whole", F.length("x").alias("units"), *_signature(F.col("x"))))
+    return members.join(signed, "lid").select(F.xxhash64("key", "whole").alias("key"), "lid", "len", "units", "whole", *SIG)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of ``(a, b)`` those with edit similarity."""
+    texts = texts.select("lid", "len", "norm", "letters")
     both = pairs.join(texts.toDF("a", "la", "ca", "wa"), "a").join(texts.toDF("b", "lb", "cb", "wb"), "b").where(_near("la", "lb", similarity))
     long = F.greatest("la", "lb") > LONG
     both = both.select("a", "b", F.when(long, F.col("wa")).otherwise(F.col("ca")).alias("x"), F.when(long, F.col("wb")).otherwise(F.col("cb")).alias("y"))
@@ -166,8 +173,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _texts(docs: DataFrame, firsts: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """``(lid, len, norm, letters)`` of the lines ``ids``, from where each comes first. ``letters`` has one of
-    20000 characters for each word, by hash, so that edits of long lines count whole words."""
+    """``(lid, len, norm, letters, kinds)`` of the lines ``ids``, from where each comes first. ``letters`` has one of
+    20000 characters for each word, by hash, so that edits of long lines count whole words; ``kinds`` one of ``LETTERS``."""
     at = firsts.join(small(ids), "lid", "left_semi").select("p.doc_id", "p.th", "p.no")
     wanted = materialise(at.groupBy("doc_id", "th").agg(F.collect_list("no").alias("nos")))
     wanted = _sent(wanted.select(F.col("doc_id").alias("_di"), F.col("th").alias("_tj"), "nos"), "nos")
@@ -179,8 +186,10 @@ def _texts(docs: DataFrame, firsts: DataFrame, ids: DataFrame, text: str) -> Dat
     size = F.length("norm")
     line = line.select("words", F.array_join("words", " ").alias("norm"))
     letters = F.when(size > int(LONG * SIMILARITY) - 1, F.decode(F.unhex(F.array_join(each, "")), "UTF-16BE"))
+    kind = F.transform("words", lambda w: F.substr(F.lit(LETTERS), F.pmod(F.xxhash64(w), F.lit(len(LETTERS))).cast("int") + 1, F.lit(1)))
+    kinds = F.when(size > int(LONG * SIMILARITY) - 1, F.array_join(kind, ""))
     brief = F.when(size <= int(LONG / SIMILARITY) + 1, F.col("norm"))
-    found = materialise(line.select(F.xxhash64("norm").alias("lid"), size.alias("len"), brief.alias("norm"), letters.alias("letters")))
+    found = materialise(line.select(F.xxhash64("norm").alias("lid"), size.alias("len"), brief.alias("norm"), letters.alias("letters"), kinds.alias("kinds")))
     # each line was asked of one place: it comes once, unless rows are alike in doc_id and text
     return found if found.count() == ids.count() else materialise(found.dropDuplicates(["lid"]))
 
@@ -195,18 +204,10 @@ def _sent(per_doc: DataFrame, lists: str) -> DataFrame:
 def links(docs: DataFrame, lines: DataFrame, firsts: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of the connected groups of different lines."""
     least = firsts.select("lid", "len", F.explode(F.array_distinct(F.array(*[f"m{i}" for i in range(MINIMA)]))).alias("key"))
-    sampled = _shared(least.where("key is not null").select("key", "lid", "len"))
-    tables, large = _cut(sampled)
     brief = lines.where("norm is not null").select("lid", "len", "norm").dropDuplicates(["lid"])
-    brief = materialise(brief.withColumn("sig", _signature(F.col("norm"))))
-    none = F.lit(None).cast("long").alias("sig")
-    whole = materialise(_shared(_segments(brief, similarity)).join(small(brief.select("lid", "sig")), "lid"))
-    large = large.select("*", none).unionByName(whole.where(F.col("n") > BLOCK).select("key", "lid", "len", "sig", F.lit(True).alias("last")))
-    large = materialise(large)
-    pairs = whole.where(F.col("n") <= BLOCK).select("key", "lid", "len", "sig")
-    for more in tables:
-        pairs = pairs.union(more.select("key", "lid", "len", none))
-    pairs = materialise(_pairs(pairs, similarity))
+    blocks = _shared(least.where("key is not null").select("key", "lid", "len")).union(_shared(_segments(materialise(brief), similarity)))
+    pairs = materialise(_pairs(blocks.where(F.col("n") <= BLOCK).select("key", "lid", "len"), similarity))
+    large = blocks.where(F.col("n") > BLOCK).select("key", "lid", "len")
     ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(large.select("lid")).distinct()
     texts = _texts(docs, firsts, materialise(ids), text)
     found = materialise(_verified(pairs, texts, similarity))
@@ -214,31 +215,29 @@ def links(docs: DataFrame, lines: DataFrame, firsts: DataFrame, text: str, simil
 
 
 def _large(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """Add to ``found`` the links inside large blocks ``members(key, lid, len, sig, last)``; ``(node, root)`` of all.
-    All lines are tried against leaders, the last ones against each other where that leaves several groups.
+    """Add to ``found`` the links inside large blocks ``members(key, lid, len)``; ``(node, root)`` of all.
+    Lines are tried against leaders, then against each other where that leaves several groups.
 
     Groups of what was found before are made once; links between them are joined as links of their roots.
     """
     none = found.toDF("node", "root").limit(0)
     groups = none if nothing(found) else materialise(components(found))
     few = parts_for(members.count())
-    label = members.join(groups, members["lid"] == groups["node"], "left")
-    label = materialise(label.select("key", "lid", "len", "sig", "last", F.coalesce("root", "lid").alias("root")), few)
+    label = _signed(members, texts).join(groups, F.col("lid") == groups["node"], "left")
+    label = materialise(label.select("key", *ROW, F.coalesce("root", "lid").alias("root")), few)
     between, merged, tried = found.limit(0), none, None
     for turn in range(ROUNDS + 1):
-        if turn == ROUNDS:  # what is left: every pair across groups, in cells
-            label = label.where("last")
         spread = label.groupBy("key").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"),
-            F.min_by(F.struct("lid", "len", "sig", "root"), F.xxhash64("lid", F.lit(turn))).alias("lead"),
+            F.min_by(F.struct(*ROW, "root"), F.xxhash64("lid", F.lit(turn))).alias("lead"),
         )
         open_ = materialise(spread.where("lo < hi").select("key", "lead", "n"), few)
         if nothing(open_):
             break
         if turn < ROUNDS:
-            met = label.join(open_, "key").where("root <> lead.root").where(_like("sig", "lead.sig", "len", "lead.len", similarity))
+            met = label.join(open_, "key").where("root <> lead.root").where(_like("{}", "lead.{}", similarity))
             met = met.select(F.least("lid", "lead.lid").alias("a"), F.greatest("lid", "lead.lid").alias("b")).distinct()
-        else:
+        else:  # what is left: every pair across groups, in cells
             met = _celled(label.join(open_.select("key", "n"), "key"), similarity)
         met = met if tried is None else met.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(met, few if turn < ROUNDS else None)
@@ -253,7 +252,7 @@ def _large(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: f
         new = new.join(roots.toDF("u", "ru"), "u").join(roots.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         between = materialise(between.union(new))
         merged = materialise(components(between), few)
-        label = label.join(merged, label["root"] == merged["node"], "left").select("key", "lid", "len", "sig", "last", F.coalesce(merged["root"], label["root"]).alias("root"))
+        label = label.join(merged, label["root"] == merged["node"], "left").select("key", *ROW, F.coalesce(merged["root"], label["root"]).alias("root"))
         label = materialise(label, few)
     # lines that only a root's links brought in are roots themselves
     last = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
@@ -262,13 +261,15 @@ def _large(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: f
 
 
 def _celled(rows: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of ``rows(key, lid, len, sig, root, n)`` across roots: a block is dealt into parts of about
-    ``CELL`` lines, and two parts meet in a cell of their own."""
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    rows = rows.select("key", "lid", "len", "sig", "root", parts.alias("parts"), F.pmod(F.xxhash64("lid"), parts).cast("int").alias("mine"))
-    one = rows.select("*", F.explode(F.sequence(F.col("mine"), F.col("parts") - 1)).alias("other"))
-    two = rows.select("key", F.col("mine").alias("other"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("mine"), *[F.col(c).alias(f"{c}_b") for c in ("lid", "len", "sig", "root")])
-    met = one.join(two, ["key", "mine", "other"]).where("root <> root_b and (mine < other or lid < lid_b)").where(_like("sig", "sig_b", "len", "len_b", similarity))
+    """``(a, b)`` of ``rows(key, lid, ..., root, n)`` across roots: of two such lines one at least is not of the
+    block's largest group. Those meet all lines; both are dealt into parts, and two parts meet in a cell of their own."""
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    rows = rows.join(materialise(main), "key")
+    parts, wide = F.ceil(F.col("n") / CELL).cast("int"), F.ceil(F.col("n") / (CELL * WIDE)).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("lid"), n).cast("int")
+    one = rows.where("root <> main").select("key", *ROW, "root", "main", part(wide).alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    two = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in (*ROW, "root")], part(parts).alias("other"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("mine"))
+    met = one.join(two, ["key", "mine", "other"]).where("root <> root_b and (root_b = main or lid < lid_b)").where(_like("{}", "{}_b", similarity))
     return met.select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b")).distinct()
 
 
