@@ -159,3 +159,24 @@ def test_signatures_are_a_bound(spark):
     d = d.select("n", F.struct(*lines._signature(F.col("x"))).alias("a"), F.struct(*lines._signature(F.col("y"))).alias("b"))
     bits = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in lines.SIG), F.lit(0))
     assert d.where(bits > 2 * F.col("n")).count() == 0
+
+
+def test_pipeline_finds_pairs_that_share_a_hot_gram_only(spark):
+    """All lines begin with the words whose gram has the least hash of many; typos hit most other grams of a pair."""
+    from corpus_pipeline import unique_lines
+
+    last = spark.range(50_000).select(F.concat(F.lit("w"), "id").alias("w"))
+    last = last.orderBy(F.xxhash64(F.lit("all"), F.lit("of"), "w")).first().w
+    rng, rows, more = np.random.default_rng(23), [], []
+    for _ in range(100):
+        a = words(rng, 14)
+        b = list(a)
+        for i in (2, 6, 10):
+            b[i] = chr(97 + (ord(b[i][0]) - 96) % 26) + b[i][1:]
+        rows += [(len(rows), f"all of {last} {' '.join(a)}"), (len(rows) + 1, f"all of {last} {' '.join(b)}")]
+        more += [" ".join([*words(rng, 20), *x]) for x in (a, b)]
+    assert all(alike(rows[i][1], rows[i + 1][1]) for i in range(0, 200, 2))
+    # unlike lines give each of a pair further keys, which the other one lacks
+    rows += [(1000 + i, x) for i, x in enumerate(more)]
+    d = table(spark, rows).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    assert {r.doc_id for r in unique_lines(spark, d, "").collect() if r.doc_id < 1000} == set(range(0, 200, 2))
