@@ -24,15 +24,17 @@ def bars_from_ticks(
     ticks: DataFrame, keys: Sequence[str], seq: str = "seq", price: str = "price", size: str = "size", decimals: int = 4
 ) -> DataFrame:
     """First, highest, lowest and last price, volume and volume-weighted price of each group of
-    ``keys``. The weighted price is the last price where no size traded; it rounds half to even."""
+    ``keys``; ticks without a price are not first or last. The weighted price is the last price where no
+    size traded; it rounds half to even."""
     weighted = F.try_divide(F.sum(F.col(price) * F.col(size)), F.sum(size))
+    priced = F.when(F.col(price).isNotNull(), F.col(seq))
     return ticks.groupBy(*keys).agg(
-        F.min_by(price, seq).alias("open"),
+        F.min_by(price, priced).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
-        F.max_by(price, seq).alias("close"),
+        F.max_by(price, priced).alias("close"),
         F.sum(size).cast("long").alias("volume"),
-        F.bround(F.coalesce(weighted, F.max_by(price, seq)), decimals).alias("vwap"),
+        F.bround(F.coalesce(weighted, F.max_by(price, priced)), decimals).alias("vwap"),
     )
 
 
@@ -97,7 +99,7 @@ def densify(bars: DataFrame, keys: Sequence[str], end: int, step: int, offset: s
     """
     grid = bars.select(*keys).distinct().withColumn(offset, F.explode(F.sequence(F.lit(0), F.lit(end), F.lit(step))))
     full = grid.join(bars, [*keys, offset], "full")
-    by = W.partitionBy(*keys).orderBy(offset)
+    by = W.partitionBy(*keys).orderBy(F.asc_nulls_last(offset))
     before = by.rowsBetween(W.unboundedPreceding, 0)
     whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     close = F.coalesce(F.last("close", True).over(before), F.first("open", True).over(whole))
