@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def half_away(x: Column, digits: int) -> Column:
-    """``round(x, digits)`` of the SQL twins: the scaled double is rounded, not the decimals that show it."""
+    """``round(x, digits)`` of the SQL twins: the scaled double is rounded, not the decimals that show it.
+    What rounds to zero keeps its sign."""
     scaled = x * F.lit(10.0**digits)
-    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+    whole = F.when(F.abs(scaled) < 0.5, x * F.lit(0.0)).otherwise(F.round(scaled) / F.lit(10.0**digits))
+    return F.when(F.abs(scaled) < float("inf"), whole).otherwise(x)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
