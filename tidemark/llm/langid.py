@@ -4,17 +4,18 @@ Known words are scored by their per-language log frequency. An unseen word falls
 longest character n-grams that any language knows, from five characters down to one. The tables
 come from a sample of labelled texts bounded for each language (``SAMPLE`` different texts, read
 whole, and ``WORDS``/``GRAMS`` entries); every document is then scored over its whole text. Words of
-the sample are counted on executors, and only the frequent ones of each language reach the driver.
+the sample and their n-grams are counted on executors, and only the tables' entries reach the driver.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, learnt: int = LEARNT) -> Model:
 
     A copy of a text counts once, so a text repeated very often is learnt as one and never collected as
     many. The first count says for each language below which hash about twice as many rows lie; those are
-    ranked, and the words of the lowest counted. ``learnt`` words of a language reach the driver.
+    ranked, and the words of the lowest counted; ``learnt`` words of a language are learnt from.
     """
     labelled = docs.where(~held_out()).where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
     sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
@@ -146,10 +147,40 @@ def train(docs: DataFrame, sample: int = SAMPLE, learnt: int = LEARNT) -> Model:
 
     words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    by: dict[str, Counter] = {}
-    for r in words.withColumn("r", first).where(F.col("r") <= learnt).orderBy("lang", "word").collect():
-        by.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
-    return Model.of(by)
+    return _tables(materialise(words.withColumn("r", first).where(F.col("r") <= learnt).select("lang", "word", "n")))
+
+
+def _tables(learnt: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
+    """:meth:`Model.of` of a written table ``(lang, word, n)``, with counts and ranks on executors: the driver
+    gets the entries of the tables only."""
+    most = learnt.groupBy("lang").agg(F.max("n").alias("m")).withColumnRenamed("lang", "l")
+    often = learnt.join(F.broadcast(most), F.col("lang") == F.col("l")).where("n > 1 or m = 1")
+    parts = [often.select("lang", F.lit(0).alias("size"), F.col("word").alias("x"), "n")]
+    for n in range(LONGEST, 0, -1):
+        marked = F.col("word") if n == 1 else F.concat(F.lit("^"), "word", F.lit("$"))
+        w = learnt.select("lang", marked.alias("w")).where(F.length("w") >= n)
+        at = w.select("lang", "w", F.explode(F.sequence(F.lit(1), F.length("w") - n + 1)).alias("at"))
+        parts.append(at.select("lang", F.lit(n).alias("size"), F.substr("w", F.col("at"), F.lit(n)).alias("x"), F.lit(1).cast("long").alias("n")))
+    counts = materialise(functools.reduce(DataFrame.union, parts).groupBy("lang", "size", "x").agg(F.sum("n").alias("n")))
+    rank = F.row_number().over(W.partitionBy("size", "lang").orderBy(F.desc("n"), "x"))
+    known = counts.withColumn("r", rank).where(F.col("r") <= F.when(F.col("size") == 0, words).otherwise(grams)).select("size", "x").distinct()
+    found = counts.join(known, ["size", "x"], "left_semi").orderBy("size", "x").select("size", "x", "lang", "n").toArrow()
+    totals = {(r["size"], r["lang"]): r["n"] for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    model, logs = Model(sorted(r["l"] for r in most.collect())), []
+    for n in [0, *range(LONGEST, 0, -1)]:
+        part = found.filter(pc.equal(found["size"], n))
+        entries = pc.unique(part["x"])
+        table = np.ones((len(entries), len(model.langs)))
+        table[pc.index_in(part["x"], entries).to_numpy(), pc.index_in(part["lang"], pa.array(model.langs, pa.string())).to_numpy()] += part["n"].to_numpy()
+        base = sum(len(p) for p in logs)
+        logs.append(np.log(table) - np.log([totals.get((n, k), 0) + len(entries) + 1 for k in model.langs]))
+        ids = {x: base + i for i, x in enumerate(entries.to_pylist())}
+        if n:
+            model.grams[n] = ids
+        else:
+            model.words = ids
+    model.rows = np.concatenate(logs)
+    return model
 
 
 def held_out():
