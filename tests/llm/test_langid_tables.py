@@ -27,3 +27,8 @@ def test_few_words_of_the_sample_pass_through_the_driver(spark):
     assert (model.langs, model.words, model.grams) == (want.langs, want.words, want.grams)
     assert np.array_equal(model.rows, want.rows)
     assert peak < 40e6, peak
+
+
+def test_no_text_comes_back_from_the_workers(spark, sf):
+    plan = langid.op4(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "text" not in plan

@@ -187,15 +187,18 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, with_text: bool = True) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row of ``docs`` from ``text`` alone.
 
     ``und`` with score 0 for a null text, one without letters, or a model without languages. The
     score is the posterior of the chosen language under equal priors. Ties go to the first
     language by name. Repeated rows get equal results; the two added names replace columns of the
-    same names, other columns pass through, whatever their names.
+    same names, other columns pass through, whatever their names. ``with_text=False`` leaves the texts
+    out, which then aren't sent back from the workers.
     """
     docs = docs.drop("lang_pred", "score")
+    kept = [f for f in docs.schema if with_text or f.name != "text"]
+    names = [f.name for f in kept]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -203,15 +206,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for b in slices(batches, 250):
             found = [score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                names=[*b.schema.names, "lang_pred", "score"],
+                [*(c for c, n in zip(b.columns, b.schema.names) if n in names), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
+                names=[*names, "lang_pred", "score"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.select("doc_id", "text", "lang"))
-    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+    # written here, where Arrow batches are bounded in bytes
+    return materialise(predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, with_text=False))
