@@ -180,3 +180,25 @@ def test_pipeline_finds_pairs_that_share_a_hot_gram_only(spark):
     rows += [(1000 + i, x) for i, x in enumerate(more)]
     d = table(spark, rows).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars")
     assert {r.doc_id for r in unique_lines(spark, d, "").collect() if r.doc_id < 1000} == set(range(0, 200, 2))
+
+
+def test_unlike_lines_of_a_block_are_not_written_as_pairs(spark, monkeypatch):
+    """200 lines of the same words in another order, which letter counts cannot tell apart, and one alike."""
+    rng = np.random.default_rng(24)
+    base, last = words(rng, 16), words(rng, 3)
+    rows = [(i, " ".join([*rng.permutation(base), *last])) for i in range(200)]
+    rows.append((200, rows[150][1].replace(base[3], base[3][:-1] + "é")))
+    d = table(spark, rows)
+    every = lines._lines(d, "text")
+    firsts = every.select("lid", "len", F.struct("doc_id", "th", "no").alias("p"), F.lit(1).cast("long").alias("m0"), *[F.lit(None).cast("long").alias(f"m{i}") for i in range(1, 5)])
+    firsts, sizes = common.materialise(firsts), []
+
+    def written(df, parts=None):
+        out = common.materialise(df, parts)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialise", written)
+    got = lines.links(d, every, firsts, "text").join(firsts, F.col("node") == F.col("lid")).select("p.doc_id", "root").collect()
+    assert {r.doc_id for r in got} == {150, 200} and len({r.root for r in got}) == 1
+    assert max(sizes) <= 4 * len(rows), sizes

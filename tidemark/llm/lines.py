@@ -17,7 +17,7 @@ the words are changed, and names a block by 64 bits.
 Only DataFrame functions. In blocks of more than ``BLOCK`` lines all lines are tried against leaders first,
 another one in each of ``ROUNDS`` rounds. Where that leaves several groups, every two lines of a block
 in different groups meet, in cells of bounded size: those that counts of letters, an exact bound, leave room for
-are compared. No candidate is dropped.
+are compared there, and only links of groups are written. No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -161,15 +161,19 @@ def _signed(members: DataFrame, texts: DataFrame) -> DataFrame:
     return members.join(signed, "lid").select(F.xxhash64("key", "whole").alias("key"), "lid", "len", "units", "whole", *SIG)
 
 
+def _close(x: str, y: str, similarity: float) -> str:
+    """Whether the edits of two texts leave the similarity."""
+    most = f"cast(floor(greatest(length({x}), length({y})) * {1 - similarity:.6f} + 1e-9) as int)"
+    return f"abs(length({x}) - length({y})) <= {most} and levenshtein({x}, {y}, {most}) >= 0"
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of ``(a, b)`` those with edit similarity."""
     texts = texts.select("lid", "len", "norm", "letters")
     both = pairs.join(texts.toDF("a", "la", "ca", "wa"), "a").join(texts.toDF("b", "lb", "cb", "wb"), "b").where(_near("la", "lb", similarity))
     long = F.greatest("la", "lb") > LONG
     both = both.select("a", "b", F.when(long, F.col("wa")).otherwise(F.col("ca")).alias("x"), F.when(long, F.col("wb")).otherwise(F.col("cb")).alias("y"))
-    most = f"cast(floor(greatest(length(x), length(y)) * {1 - similarity:.6f} + 1e-9) as int)"
-    close = f"abs(length(x) - length(y)) <= {most} and levenshtein(x, y, {most}) >= 0"
-    return both.where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return both.where(_close("x", "y", similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _texts(docs: DataFrame, firsts: DataFrame, ids: DataFrame, text: str) -> DataFrame:
@@ -237,21 +241,24 @@ def _large(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: f
         if turn < ROUNDS:
             met = label.join(open_, "key").where("root <> lead.root").where(_like("{}", "lead.{}", similarity))
             met = met.select(F.least("lid", "lead.lid").alias("a"), F.greatest("lid", "lead.lid").alias("b")).distinct()
+            pairs = materialise(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), few)
+            if nothing(pairs):
+                continue
+            tried = pairs if tried is None else tried.union(pairs)
+            ids = materialise(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
+            new = materialise(_verified(pairs, materialise(texts.join(small(ids), "lid", "left_semi")), similarity), few)
+            if nothing(new):
+                continue
+            roots = label.select("lid", "root").distinct()
+            new = new.join(roots.toDF("u", "ru"), "u").join(roots.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
         else:  # what is left: every pair across groups, in cells
-            met = _celled(label.join(open_.select("key", "n"), "key"), similarity)
-        met = met if tried is None else met.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(met, few if turn < ROUNDS else None)
-        if nothing(pairs):
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        ids = materialise(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
-        new = materialise(_verified(pairs, materialise(texts.join(small(ids), "lid", "left_semi")), similarity), few if turn < ROUNDS else None)
-        if nothing(new):
-            continue
-        roots = label.select("lid", "root").distinct()
-        new = new.join(roots.toDF("u", "ru"), "u").join(roots.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+            new = materialise(_celled(label.join(open_.select("key", "n"), "key"), texts, similarity))
+            if nothing(new):
+                continue
         between = materialise(between.union(new))
         merged = materialise(components(between), few)
+        if turn == ROUNDS:
+            break
         label = label.join(merged, label["root"] == merged["node"], "left").select("key", *ROW, F.coalesce(merged["root"], label["root"]).alias("root"))
         label = materialise(label, few)
     # lines that only a root's links brought in are roots themselves
@@ -260,17 +267,20 @@ def _large(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: f
     return every.join(last, every["root"] == last["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
-def _celled(rows: DataFrame, similarity: float) -> DataFrame:
-    """``(a, b)`` of ``rows(key, lid, ..., root, n)`` across roots: of two such lines one at least is not of the
-    block's largest group. Those meet all lines; both are dealt into parts, and two parts meet in a cell of their own."""
+def _celled(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)``, the roots of lines with edit similarity of ``rows(key, lid, ..., root, n)`` across roots: of two
+    such lines one at least is not of the block's largest group. Those meet all lines; both are dealt into parts,
+    and two parts meet in a cell of their own. Lines are compared where they meet, so pairs are never written."""
     main = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    rows = rows.join(materialise(main), "key")
+    rows = rows.join(materialise(main), "key").join(texts.select("lid", "norm", "letters"), "lid")
+    rows = materialise(rows.withColumn("x", F.when(F.col("whole"), F.col("letters")).otherwise(F.col("norm"))).drop("norm", "letters"))
     parts, wide = F.ceil(F.col("n") / CELL).cast("int"), F.ceil(F.col("n") / (CELL * WIDE)).cast("int")
     part = lambda n: F.pmod(F.xxhash64("lid"), n).cast("int")
-    one = rows.where("root <> main").select("key", *ROW, "root", "main", part(wide).alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    two = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in (*ROW, "root")], part(parts).alias("other"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("mine"))
+    one = rows.where("root <> main").select("key", *ROW, "x", "root", "main", part(wide).alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    two = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in (*ROW, "x", "root")], part(parts).alias("other"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("mine"))
     met = one.join(two, ["key", "mine", "other"]).where("root <> root_b and (root_b = main or lid < lid_b)").where(_like("{}", "{}_b", similarity))
-    return met.select(F.least("lid", "lid_b").alias("a"), F.greatest("lid", "lid_b").alias("b")).distinct()
+    met = met.where(_close("x", "x_b", similarity))
+    return met.select(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v")).distinct()
 
 
 def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
