@@ -202,3 +202,44 @@ def test_unlike_lines_of_a_block_are_not_written_as_pairs(spark, monkeypatch):
     got = lines.links(d, every, firsts, "text").join(firsts, F.col("node") == F.col("lid")).select("p.doc_id", "root").collect()
     assert {r.doc_id for r in got} == {150, 200} and len({r.root for r in got}) == 1
     assert max(sizes) <= 4 * len(rows), sizes
+
+
+def joined(spark, after):
+    """The rows of each join in the executions after this one."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), []
+    runs = store.executionsList()
+    for at in (runs.apply(i).executionId() for i in range(runs.size())):
+        if at > after:
+            values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                metrics = node.metrics() if "Join" in node.name() else None
+                for m in (metrics.apply(i) for i in range(metrics.size())) if metrics else ():
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return made
+
+
+def test_lines_like_many_of_a_block_do_not_meet_them_all(spark):
+    """A block of 600 lines: one in ten is like all others, which are like no other one."""
+    rng = np.random.default_rng(25)
+    base, rows = words(rng, 60), []
+    for i in range(600):
+        w = list(base)
+        for at in rng.choice(60, 1 if i % 10 == 0 else 5, replace=False):
+            w[at] = words(rng, 1)[0]
+        rows.append((i, " ".join(w)))
+    d = table(spark, rows)
+    every = lines._lines(d, "text")
+    firsts = every.select("lid", "len", F.struct("doc_id", "th", "no").alias("p"), F.lit(1).cast("long").alias("m0"), *[F.lit(None).cast("long").alias(f"m{i}") for i in range(1, 5)])
+    firsts = common.materialise(firsts)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    last = max(runs.apply(i).executionId() for i in range(runs.size()))
+    got = lines.links(d, every, firsts, "text").join(firsts, F.col("node") == F.col("lid")).select("p.doc_id", "root").collect()
+    assert {r.doc_id for r in got} == set(range(600)) and len({r.root for r in got}) == 1
+    assert max(joined(spark, last)) <= 10 * len(rows), sorted(joined(spark, last))[-5:]
+
+
+def test_signatures_tell_halves_apart(spark):
+    row = spark.range(1).select(F.struct(*lines._signature(F.lit("a" * 10 + "b" * 11))).alias("a"), F.struct(*lines._signature(F.lit("b" * 11 + "a" * 10))).alias("b"))
+    bits = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in lines.SIG), F.lit(0))
+    assert row.select(bits).first()[0] > 2 * 2

@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -52,6 +53,19 @@ def parts_for(rows: int, each: int = 100_000) -> int:
     return max(1, -(-rows // each))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, held: dict) -> Iterator[None]:
+    """Settings of the session for a while, for what is written then."""
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back; by ``parts`` tasks if its
     size is known to be worth no more.
@@ -62,12 +76,8 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{uuid.uuid4().hex}"
     # workers hold whole Arrow batches: bounded in bytes, however long the texts are
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, BATCH_BYTES)
-    try:
+    with settings(spark, {_BATCH: BATCH_BYTES}):
         (df.coalesce(parts) if parts else df).write.parquet(path)
-    finally:
-        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -131,7 +141,7 @@ def components(edges: DataFrame, local: bool = False) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    state, parts = None, parts_for(now.count())
+    parts = parts_for(now.count())
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), parts)
@@ -152,12 +162,11 @@ def components(edges: DataFrame, local: bool = False) -> DataFrame:
             .distinct()
         )
         now = materialise(small, parts)
-        seen = now.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
-        ).first()
-        if tuple(seen) == state:
+        # done once every node has one neighbour, which has none
+        ends = now.select("u", F.lit(1).alias("low"), F.lit(0).alias("high")).union(now.selectExpr("v", "0", "1"))
+        ends = ends.groupBy("u").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+        if nothing(ends.where("low > 1 or low = 1 and high = 1")):
             break
-        state = tuple(seen)
     root = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return root.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

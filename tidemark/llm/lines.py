@@ -14,18 +14,21 @@ blocks that let 0.9 of them through would have 12 bits, and hold each 4096th lin
 least hash is shared with the odds of the Jaccard similarity instead, 0.57 or more where a tenth of
 the words are changed, and names a block by 64 bits.
 
-Only DataFrame functions. In blocks of more than ``BLOCK`` lines all lines are tried against leaders first,
-another one in each of ``ROUNDS`` rounds. Where that leaves several groups, every two lines of a block
-in different groups meet, in cells of bounded size: those that counts of letters, an exact bound, leave room for
-are compared there, and only links of groups are written. No candidate is dropped.
+Only DataFrame functions. In blocks of more than ``BLOCK`` lines all lines are tried against a leader first,
+then against samples that grow, so that a line like many others is linked while few of them are tried. Where that
+leaves several groups, every two lines of a block in different groups meet, in cells of bounded size: those that
+counts of letters, an exact bound, leave room for are compared there, in the first of the blocks that they share,
+and only links of groups are written. No candidate is dropped.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, materialise, nothing, parts_for, small
+from .common import components, documents, materialise, nothing, parts_for, settings, small
 
 SIMILARITY = 0.9
 #: What is removed of so many documents is broadcast, joined with a shuffle beyond.
@@ -35,19 +38,24 @@ BROADCAST_DOCS = 300_000
 MINIMA = 5
 SHORT = 49
 DENSE = 12
-#: Lines a block is compared in at once; leaders tried in larger blocks; lines on one side of a cell, and
-#: on the other times as many.
+#: Lines a block is compared in at once; in larger blocks, of how many lines one is tried, until all are; lines
+#: on one side of a cell, and on the other times as many.
 BLOCK = 24
-ROUNDS = 3
+SHARES = (64, 8, 1)
 CELL = 512
 WIDE = 16
+#: Beyond so many bytes the JVM doesn't compile a method, and conditions on pairs take many times as long; with
+#: this limit Spark cuts them into smaller ones. What comes later in a condition isn't worked out ahead.
+COMPILED = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.subexpressionElimination.skipForShortcutExpr": "true"}
+#: Leaders with their texts that are broadcast.
+BROADCAST_LEADERS = 100_000
 #: Beyond so many characters, edits and similarity count whole words: in characters, the work grows
 #: with the square of the length.
 LONG = 250
-#: Letters that signatures count, each up to so many; four share a long.
+#: Letters that signatures count in either half, each up to so many; four share a long.
 LETTERS = "abcdefghijklmnopqrstuvwxyz 1éäöü"
 COUNTED = 16
-SIG = [f"s{i}" for i in range(len(LETTERS) // 4)]
+SIG = [f"s{i}" for i in range(len(LETTERS) // 2)]
 ROW = ["lid", "len", "units", "whole", *SIG]
 
 
@@ -101,21 +109,26 @@ def _segments(lines: DataFrame, similarity: float) -> DataFrame:
     x = x.selectExpr("*", "cast(floor(l / (k + 1)) as int) as w", "greatest(0, i - (k + 1 - l % (k + 1))) as extra", "int(i >= k + 1 - l % (k + 1)) as one")
     x = x.selectExpr("lid", "len", "norm", "l", "k", "i", "i * w + extra + 1 as p", "w + one as w")
     x = x.selectExpr("*", "greatest(1, p - i, p + len - l - (k - i)) as lo", "least(len - w + 1, p + i, p + len - l + (k - i)) as hi").where("lo <= hi")
-    x = x.select("lid", "len", "norm", "l", "i", "w", F.explode(F.sequence("lo", "hi")).alias("at"))
-    return x.select(F.xxhash64("l", "i", F.substr("norm", F.col("at"), F.col("w"))).alias("key"), "lid", "len").distinct()
+    # a line has a key several times only for one ``l`` and ``i``
+    keys = F.array_distinct(F.transform(F.sequence("lo", "hi"), lambda at: F.xxhash64("l", "i", F.substr("norm", at, F.col("w")))))
+    return x.select(F.explode(keys).alias("key"), "lid", "len")
 
 
 def _signature(x: Column) -> list[Column]:
-    """How often each of ``LETTERS`` stands in ``x``, up to ``COUNTED``, as so many bits. An edit takes at most
-    one letter away and brings one, so it changes at most two bits: an exact bound for any two texts."""
+    """How often each of ``LETTERS`` stands in either half of ``x``, up to ``COUNTED``, as so many bits; of an odd
+    length the letter in the middle is left out. Put for another, a letter changes two bits at most. Put in or
+    taken out, it changes one, and makes the middle come or go: one letter more, or one less, in one half. So an
+    edit changes at most two bits: an exact bound for any two texts."""
     left = lambda bits, by: F.call_function("shiftleft", bits, by)
+    size = F.floor(F.length(x) / 2).cast("int")
     longs = []
-    for at, name in zip(range(0, len(LETTERS), 4), SIG):
-        bits = F.lit(0).cast("long")
-        for i, c in enumerate(LETTERS[at : at + 4]):
-            n = F.least(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))), F.lit(COUNTED))
-            bits = bits.bitwiseOR(left(left(F.lit(1).cast("long"), n) - 1, F.lit(COUNTED * i)))
-        longs.append(bits.alias(name))
+    for half in (F.substr(x, F.lit(1), size), F.substr(x, F.length(x) - size + 1, size)):
+        for at in range(0, len(LETTERS), 4):
+            bits = F.lit(0).cast("long")
+            for i, c in enumerate(LETTERS[at : at + 4]):
+                n = F.least(size - F.length(F.replace(half, F.lit(c), F.lit(""))), F.lit(COUNTED))
+                bits = bits.bitwiseOR(left(left(F.lit(1).cast("long"), n) - 1, F.lit(COUNTED * i)))
+            longs.append(bits.alias(SIG[len(longs)]))
     return longs
 
 
@@ -146,19 +159,22 @@ def _like(mine: str, other: str, similarity: float) -> Column:
 
 def _pairs(blocks: DataFrame, similarity: float) -> DataFrame:
     """``(a, b)`` of blocks ``(key, lid, len)`` of bounded size."""
-    other = blocks.select("key", F.col("lid").alias("b"), F.col("len").alias("len_b"))
-    met = blocks.join(other, "key").where("lid < b").where(_near("len", "len_b", similarity))
-    return met.select(F.col("lid").alias("a"), "b").distinct()
+    # the same table on both sides is shuffled once
+    met = blocks.alias("a").join(blocks.alias("b"), "key").where("a.lid < b.lid").where(_near("a.len", "b.len", similarity))
+    return met.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct()
 
 
-def _signed(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``members(key, lid, len)`` with ``units``, ``whole`` and the signature: a block is split into what may be
-    compared in characters and what may be in whole words. Lines of about ``LONG`` characters are in both."""
+def _labelled(members: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members(key, lid, len)`` with ``units``, ``whole``, the signature, the text ``x`` that is compared, all
+    ``keys`` of the line and the ``root`` of its group, written once: a block is split into what may be compared
+    in characters and what may be in whole words. Lines of about ``LONG`` characters are in both."""
     chars = texts.where(F.col("len") <= LONG).select("lid", F.lit(False).alias("whole"), F.col("norm").alias("x"))
-    words = texts.where("kinds is not null").select("lid", F.lit(True).alias("whole"), F.col("kinds").alias("x"))
-    asked = chars.union(words).join(small(materialise(members.select("lid").distinct())), "lid", "left_semi")
-    signed = materialise(asked.select("lid", "whole", F.length("x").alias("units"), *_signature(F.col("x"))))
-    return members.join(signed, "lid").select(F.xxhash64("key", "whole").alias("key"), "lid", "len", "units", "whole", *SIG)
+    words = texts.where("kinds is not null").select("lid", F.lit(True).alias("whole"), F.col("letters").alias("x"), "kinds")
+    each = materialise(members.groupBy("lid").agg(F.min("len").alias("len"), F.collect_set("key").alias("keys")))
+    known = chars.withColumn("kinds", F.col("x")).unionByName(words).join(small(each), "lid")
+    known = known.select("lid", "len", "whole", "x", F.length("x").alias("units"), F.transform("keys", lambda k: F.xxhash64(k, "whole")).alias("keys"), *_signature(F.col("kinds")))
+    known = known.join(small(groups), F.col("lid") == groups["node"], "left")
+    return materialise(known.select(F.explode("keys").alias("key"), "keys", *ROW, "x", F.coalesce("root", "lid").alias("root")))
 
 
 def _close(x: str, y: str, similarity: float) -> str:
@@ -185,13 +201,13 @@ def _texts(docs: DataFrame, firsts: DataFrame, ids: DataFrame, text: str) -> Dat
     here = docs.select("doc_id", F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     met = here.join(wanted, here["doc_id"].eqNullSafe(F.col("_di")) & (here["th"] == F.col("_tj"))).select("nos", F.split("text", "\n", -1).alias("ls"))
     line = met.select(F.explode(F.transform("nos", lambda i: F.get("ls", i))).alias("line")).select(words_of(F.col("line")).alias("words"))
-    each = F.transform("words", lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00))
     # a pair is compared in one of the two: what none of a length can need isn't sent
     size = F.length("norm")
     line = line.select("words", F.array_join("words", " ").alias("norm"))
-    letters = F.when(size > int(LONG * SIMILARITY) - 1, F.decode(F.unhex(F.array_join(each, "")), "UTF-16BE"))
-    kind = F.transform("words", lambda w: F.substr(F.lit(LETTERS), F.pmod(F.xxhash64(w), F.lit(len(LETTERS))).cast("int") + 1, F.lit(1)))
-    kinds = F.when(size > int(LONG * SIMILARITY) - 1, F.array_join(kind, ""))
+    hashes = F.when(size > int(LONG * SIMILARITY) - 1, F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(20_000))))
+    line = line.select("norm", hashes.alias("hashes"))
+    letters = F.decode(F.unhex(F.array_join(F.transform("hashes", lambda h: F.hex(h + 0x4E00)), "")), "UTF-16BE")
+    kinds = F.array_join(F.transform("hashes", lambda h: F.substr(F.lit(LETTERS), F.pmod(h, F.lit(len(LETTERS))).cast("int") + 1, F.lit(1))), "")
     brief = F.when(size <= int(LONG / SIMILARITY) + 1, F.col("norm"))
     found = materialise(line.select(F.xxhash64("norm").alias("lid"), size.alias("len"), brief.alias("norm"), letters.alias("letters"), kinds.alias("kinds")))
     # each line was asked of one place: it comes once, unless rows are alike in doc_id and text
@@ -215,72 +231,93 @@ def links(docs: DataFrame, lines: DataFrame, firsts: DataFrame, text: str, simil
     ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(large.select("lid")).distinct()
     texts = _texts(docs, firsts, materialise(ids), text)
     found = materialise(_verified(pairs, texts, similarity))
-    return _large(large, texts, found, similarity)
+    with settings(docs.sparkSession, COMPILED):
+        return _large(large, texts, found, similarity)
 
 
 def _large(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Add to ``found`` the links inside large blocks ``members(key, lid, len)``; ``(node, root)`` of all.
-    Lines are tried against leaders, then against each other where that leaves several groups.
+    Lines are tried against a leader and samples, then against each other where that leaves several groups.
 
     Groups of what was found before are made once; links between them are joined as links of their roots.
     """
     none = found.toDF("node", "root").limit(0)
     groups = none if nothing(found) else materialise(components(found))
-    few = parts_for(members.count())
-    label = _signed(members, texts).join(groups, F.col("lid") == groups["node"], "left")
-    label = materialise(label.select("key", *ROW, F.coalesce("root", "lid").alias("root")), few)
-    between, merged, tried = found.limit(0), none, None
-    for turn in range(ROUNDS + 1):
-        spread = label.groupBy("key").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"),
-            F.min_by(F.struct(*ROW, "root"), F.xxhash64("lid", F.lit(turn))).alias("lead"),
-        )
+    label = _labelled(members, texts, groups)
+    few = parts_for(label.count())
+    between, merged = found.limit(0), None
+    for share in (None, *SHARES):
+        now = label
+        if merged is not None:
+            now = label.withColumnRenamed("root", "old").join(small(merged.toDF("old", "new")), "old", "left").withColumn("root", F.coalesce("new", "old")).drop("old", "new")
+        spread = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min(F.xxhash64("lid")).alias("lead"))
         open_ = materialise(spread.where("lo < hi").select("key", "lead", "n"), few)
         if nothing(open_):
             break
-        if turn < ROUNDS:
-            met = label.join(open_, "key").where("root <> lead.root").where(_like("{}", "lead.{}", similarity))
-            met = met.select(F.least("lid", "lead.lid").alias("a"), F.greatest("lid", "lead.lid").alias("b")).distinct()
-            pairs = materialise(met if tried is None else met.join(tried, ["a", "b"], "left_anti"), few)
-            if nothing(pairs):
-                continue
-            tried = pairs if tried is None else tried.union(pairs)
-            ids = materialise(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
-            new = materialise(_verified(pairs, materialise(texts.join(small(ids), "lid", "left_semi")), similarity), few)
-            if nothing(new):
-                continue
-            roots = label.select("lid", "root").distinct()
-            new = new.join(roots.toDF("u", "ru"), "u").join(roots.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        else:  # what is left: every pair across groups, in cells
-            new = materialise(_celled(label.join(open_.select("key", "n"), "key"), texts, similarity))
-            if nothing(new):
+        if share is None:
+            new = _led(now.join(small(open_.select("key", "lead")), "key"), similarity)
+        else:
+            # a sample of few lines finds nothing
+            open_ = open_.where(F.col("n") >= (32 * share if share > 1 else 0))
+            if nothing(open_):
                 continue
+            new = _celled(now.join(small(open_.select("key", "n")), "key"), similarity, share)
+        new = materialise(new, few)
+        if nothing(new):
+            continue
         between = materialise(between.union(new))
         merged = materialise(components(between), few)
-        if turn == ROUNDS:
-            break
-        label = label.join(merged, label["root"] == merged["node"], "left").select("key", *ROW, F.coalesce(merged["root"], label["root"]).alias("root"))
-        label = materialise(label, few)
+    if merged is None:
+        return groups
     # lines that only a root's links brought in are roots themselves
     last = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
     every = groups.union(merged.select("node", F.col("node").alias("root")).join(groups, "node", "left_anti"))
     return every.join(last, every["root"] == last["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
-def _celled(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``(u, v)``, the roots of lines with edit similarity of ``rows(key, lid, ..., root, n)`` across roots: of two
-    such lines one at least is not of the block's largest group. Those meet all lines; both are dealt into parts,
-    and two parts meet in a cell of their own. Lines are compared where they meet, so pairs are never written."""
+def _linked(met: DataFrame, similarity: float, also: Column | None = None) -> DataFrame:
+    """``(u, v)``, the roots, of lines that ``met`` in different groups and have edit similarity."""
+    met = met.where(_like("{}", "{}_b", similarity))
+    met = met if also is None else met.where(also)
+    # ``units`` is the length: texts are not gone through for it
+    met = met.where(F.call_function("levenshtein", "x", "x_b", _room("units", "units_b", similarity).cast("int")) >= 0)
+    return met.select(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v")).distinct()
+
+
+def _led(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links of lines to the leader of their block."""
+    lead = materialise(rows.where(F.xxhash64("lid") == F.col("lead")).select("key", *[F.col(c).alias(f"{c}_b") for c in (*ROW, "x", "root")]))
+    return _linked(rows.join(small(lead, BROADCAST_LEADERS), "key").where("root <> root_b"), similarity)
+
+
+def _celled(rows: DataFrame, similarity: float, share: int) -> DataFrame:
+    """Links of lines of ``rows(key, keys, lid, ..., x, root, n)`` across roots, one of so many tried. Blocks of
+    one cell meet themselves. In larger ones, one at least of two such lines is not of the block's largest group.
+    Those meet lines of lengths near theirs, by bands as wide as the similarity leaves room; both are dealt into
+    parts, and two parts meet in a cell of their own. Lines are compared where they meet first, so pairs are
+    never written."""
+    first = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")  # of all blocks that both are in
+    sides = [*ROW, "x", "root", "keys"]
+    one_cell = rows.where(F.col("n") <= CELL if share == 1 else F.lit(False)).select("key", *sides)
+    # the same columns of the same table on both sides are shuffled once
+    met = one_cell.alias("a").join(one_cell.alias("b"), "key").where("a.lid < b.lid and a.root <> b.root and a.whole = b.whole")
+    met = met.select("key", *[F.col(f"a.{c}") for c in sides], *[F.col(f"b.{c}").alias(f"{c}_b") for c in sides])
+    found = _linked(met, similarity, first)
+    rows = rows.where(F.col("n") > CELL) if share == 1 else rows
     main = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
-    rows = rows.join(materialise(main), "key").join(texts.select("lid", "norm", "letters"), "lid")
-    rows = materialise(rows.withColumn("x", F.when(F.col("whole"), F.col("letters")).otherwise(F.col("norm"))).drop("norm", "letters"))
-    parts, wide = F.ceil(F.col("n") / CELL).cast("int"), F.ceil(F.col("n") / (CELL * WIDE)).cast("int")
+    main = materialise(main)
+    if nothing(main):
+        return found
+    rows = rows.join(small(main), "key").withColumn("band", F.floor(F.log(F.col("len") + 1) / -math.log(similarity)).cast("int"))
+    parts, wide = F.ceil(F.col("n") / (CELL * 4 * share)).cast("int"), F.ceil(F.col("n") / (CELL * WIDE)).cast("int")
     part = lambda n: F.pmod(F.xxhash64("lid"), n).cast("int")
-    one = rows.where("root <> main").select("key", *ROW, "x", "root", "main", part(wide).alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    two = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in (*ROW, "x", "root")], part(parts).alias("other"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("mine"))
-    met = one.join(two, ["key", "mine", "other"]).where("root <> root_b and (root_b = main or lid < lid_b)").where(_like("{}", "{}_b", similarity))
-    met = met.where(_close("x", "x_b", similarity))
-    return met.select(F.least("root", "root_b").alias("u"), F.greatest("root", "root_b").alias("v")).distinct()
+    one = rows.where("root <> main").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    one = one.select("key", "band", *sides, "main", part(wide).alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    tried = rows if share == 1 else rows.where(F.pmod(F.xxhash64("lid", F.lit(share)), F.lit(share)) == 0)
+    two = tried.select("key", "band", *[F.col(c).alias(f"{c}_b") for c in sides], part(parts).alias("other"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("mine"))
+    both = "root <> root_b" if share > 1 else "root <> root_b and (root_b = main or lid < lid_b)"
+    parted = _linked(one.join(two, ["key", "band", "mine", "other"]).where(both), similarity, first)
+    return found.union(parted) if share == 1 else parted
 
 
 def dedup(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
